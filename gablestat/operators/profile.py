@@ -121,9 +121,9 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 
 
 def overview(df: DataFrame, averages: Sequence[str], distincts: dict[str, str], *, approx: bool = False) -> DataFrame:
-    """One row of averages (``avg_*``) and distinct counts under the given names."""
+    """One row of averages (``avg_*``) and distinct counts (``distincts``: result name -> column)."""
     count = F.approx_count_distinct if approx else F.countDistinct
     return df.agg(
         *[F.avg(c).alias(f"avg_{c}") for c in averages],
-        *[count(c).alias(name) for c, name in distincts.items()],
+        *[count(c).alias(name) for name, c in distincts.items()],
     )

@@ -17,9 +17,33 @@ OLD, NEW = 1998, 2000
 _MONEY = "decimal(18,4)"
 
 
+# A condition label for each order priority, finished and open items apart.
+_CONDITIONS = {
+    "1-URGENT": ("EX - Excellent", "E - Excellent"),
+    "2-HIGH": ("VG - Very Good", "G - Good"),
+    "3-MEDIUM": ("AVG - Default - Average", "A - Average"),
+    "4-NOT SPECIFIED": ("F - Fair", "U - Unknown"),
+    "5-LOW": ("VP - Very Poor", "P - Poor"),
+}
+
+
+def _condition() -> Column:
+    out = F.when(F.lit(False), "")
+    for priority, (finished, still_open) in _CONDITIONS.items():
+        label = F.when(F.col("l_linestatus") == "F", finished).otherwise(still_open)
+        out = out.when(F.col("o_orderpriority") == priority, label)
+    return out
+
+
+def _share_of(price: Column, rate: Column) -> Column:
+    """Price times a whole-percent rate, rounded half up to cents in whole numbers."""
+    cents = F.round(price * 100).cast("bigint") * F.round(rate * 100).cast("bigint")
+    return F.floor((cents + 50) / 100) / 100
+
+
 def _columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
-    price, off = F.col("l_extendedprice"), F.col("l_discount")
-    land = F.round(price * off, 2)
+    price = F.col("l_extendedprice")
+    land = _share_of(price, F.col("l_discount"))
     return {
         "pid": (F.col("l_partkey"), ()),
         "record_id": (F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ()),
@@ -35,14 +59,14 @@ def _columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
         "num_parking": (F.col("p_size") % 8, ("part",)),
         "fireplaces": ((F.col("l_quantity") % 4).cast("int"), ()),
         "own_occ": (F.when(F.col("l_linestatus") == "F", "Y").otherwise("N"), ()),
-        "overall_cond": (F.col("o_orderpriority"), ("orders",)),
+        "overall_cond": (_condition(), ("orders",)),
         "total_value": (price, ()),
         "land_value": (land, ()),
         "bldg_value": (price - land, ()),
         "living_area": (F.col("l_quantity"), ()),
         "gross_area": (F.col("l_quantity") + F.col("p_size"), ("part",)),
         "land_sf": (F.col("p_size").cast("double"), ("part",)),
-        "gross_tax": (F.round(price * F.col("l_tax"), 2), ()),
+        "gross_tax": (_share_of(price, F.col("l_tax")), ()),
     }
 
 
@@ -114,14 +138,19 @@ SQL_VIEW = """a AS (
          p_size % 8 AS num_parking,
          CAST(l_quantity % 4 AS INTEGER) AS fireplaces,
          CASE WHEN l_linestatus = 'F' THEN 'Y' ELSE 'N' END AS own_occ,
-         o_orderpriority AS overall_cond,
+         CASE o_orderpriority || l_linestatus
+           WHEN '1-URGENTF' THEN 'EX - Excellent' WHEN '1-URGENTO' THEN 'E - Excellent'
+           WHEN '2-HIGHF' THEN 'VG - Very Good' WHEN '2-HIGHO' THEN 'G - Good'
+           WHEN '3-MEDIUMF' THEN 'AVG - Default - Average' WHEN '3-MEDIUMO' THEN 'A - Average'
+           WHEN '4-NOT SPECIFIEDF' THEN 'F - Fair' WHEN '4-NOT SPECIFIEDO' THEN 'U - Unknown'
+           WHEN '5-LOWF' THEN 'VP - Very Poor' WHEN '5-LOWO' THEN 'P - Poor' END AS overall_cond,
          l_extendedprice AS total_value,
-         round(l_extendedprice * l_discount, 2) AS land_value,
-         l_extendedprice - round(l_extendedprice * l_discount, 2) AS bldg_value,
+         floor(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) + 50 AS DOUBLE) / 100) / 100 AS land_value,
+         l_extendedprice - floor(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_discount * 100) AS BIGINT) + 50 AS DOUBLE) / 100) / 100 AS bldg_value,
          l_quantity AS living_area,
          l_quantity + p_size AS gross_area,
          CAST(p_size AS DOUBLE) AS land_sf,
-         round(l_extendedprice * l_tax, 2) AS gross_tax
+         floor(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 100) AS BIGINT) + 50 AS DOUBLE) / 100) / 100 AS gross_tax
   FROM lineitem
   JOIN part ON l_partkey = p_partkey
   JOIN orders ON l_orderkey = o_orderkey
