@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gablestat.functions.columns import pct_change, pp_change
@@ -57,19 +57,21 @@ def match_snapshots(
 
 
 def pair_up(
-    df: DataFrame, key: str, period: str, periods: tuple[int, int], cols: Sequence[str]
+    df: DataFrame, key: str, period: str, periods: tuple[int, int], cols: Sequence[str],
+    combine: Callable[[Column], Column] = F.max,
 ) -> DataFrame:
     """Long panel to matched pairs with a single shuffle and no join.
 
-    For panels with at most one row per key and period: each key keeps its value in
-    either period, and keys missing from one of them are left out.
+    Each key gets its value in either period; ``combine`` folds several records of one
+    key and period into one (the default suits panels with at most one). Keys missing
+    from a period are left out. Rows combine before the shuffle, so a hot key is no burden.
     """
     old, new = periods
     rows = df.filter(F.col(period).isin(old, new) & F.col(key).isNotNull())
     aggs = [F.count_if(F.col(period) == p).alias(f"__n_{p}") for p in periods]
     for c in cols:
         for p in periods:
-            aggs.append(F.max(F.when(F.col(period) == p, F.col(c))).alias(f"{c}_{p}"))
+            aggs.append(combine(F.when(F.col(period) == p, F.col(c))).alias(f"{c}_{p}"))
     out = rows.groupBy(key).agg(*aggs)
     return out.filter((F.col(f"__n_{old}") > 0) & (F.col(f"__n_{new}") > 0)).drop(*[f"__n_{p}" for p in periods])
 

@@ -115,10 +115,14 @@ def dirty_assessments(spark: SparkSession, folder: str, columns: Sequence[str],
 PAIR_MEASURES = ["total_value", "gross_tax", "land_value", "bldg_value", "living_area"]
 
 
+def exact_sum(c: Column) -> Column:
+    return F.sum(c.cast(_MONEY)).cast("double")
+
+
 def paired_panel(spark: SparkSession, folder: str) -> DataFrame:
     """One row per property and snapshot, measures summed as exact decimals."""
     rows = assessments(spark, folder, ["pid", "fiscal_year", *PAIR_MEASURES], (OLD, NEW))
-    sums = [F.sum(F.col(c).cast(_MONEY)).cast("double").alias(c) for c in PAIR_MEASURES]
+    sums = [exact_sum(F.col(c)).alias(c) for c in PAIR_MEASURES]
     return rows.groupBy("pid", "fiscal_year").agg(*sums)
 
 
