@@ -63,15 +63,25 @@ def ols_sql(source: str, y: str, xs: Mapping[str, str], by: str = "", prefix: st
         f"{prefix}t AS (SELECT {keys}count(*) AS n, sum(v0 * v0) AS rss, any_value(syy) AS syy, {', '.join(carried)} "
         f"FROM {prefix}h{k} {'GROUP BY ' + by if by else ''})"
     )
-    solved = []
+    # One subquery per step, so that no expression repeats the ones below it.
+    last = f"{prefix}t"
+
+    def step(name: str, columns: list[str]) -> None:
+        nonlocal last
+        ctes.append(f"{prefix}{name} AS (SELECT *, {', '.join(columns)} FROM {last})")
+        last = f"{prefix}{name}"
+
     for j in range(k, 0, -1):
-        solved.append(f"r{j}_0" + "".join(f" - r{j}_{i} * b{i}" for i in range(j + 1, k + 1)) + f" AS b{j}")
-    for i in range(1, k + 1):
-        solved.append(f"1.0::DOUBLE AS u{i}_{i}")
-        for j in range(i - 1, 0, -1):
-            solved.append("-(" + " + ".join(f"r{j}_{m} * u{m}_{i}" for m in range(j + 1, i + 1)) + f") AS u{j}_{i}")
+        step(f"bk{j}", [f"r{j}_0" + "".join(f" - r{j}_{i} * b{i}" for i in range(j + 1, k + 1)) + f" AS b{j}"])
+    step("ud0", [f"1.0::DOUBLE AS u{i}_{i}" for i in range(1, k + 1)])
+    for gap in range(1, k):
+        step(f"ud{gap}", [
+            "-(" + " + ".join(f"r{j}_{m} * u{m}_{j + gap}" for m in range(j + 1, j + gap + 1)) + f") AS u{j}_{j + gap}"
+            for j in range(1, k - gap + 1)
+        ])
+    step("sv", [f"rss / (n - {k + 1}) AS s2"])
+    solved = []
     solved.append(f"n - {k + 1} AS free")
-    solved.append("rss / free AS s2")
     solved.append("mu0" + "".join(f" - b{j} * mu{j}" for j in range(1, k + 1)) + " AS b0")
     spread = " + ".join(
         "pow(" + " + ".join(f"mu{j} * u{j}_{i}" for j in range(1, i + 1)) + f", 2) / d{i}" for i in range(1, k + 1)
@@ -82,7 +92,7 @@ def ols_sql(source: str, y: str, xs: Mapping[str, str], by: str = "", prefix: st
     solved.append("1 - rss / syy AS r2")
     solved.append("1 - (1 - r2) * (n - 1) / free AS adj_r2")
     solved.append(f"(syy - rss) / {k} / s2 AS f_value")
-    ctes.append(f"{prefix}s AS (SELECT *, {', '.join(solved)} FROM {prefix}t)")
+    ctes.append(f"{prefix}s AS (SELECT *, {', '.join(solved)} FROM {last})")
     terms = " UNION ALL ".join(
         f"SELECT {keys}{i} AS position, '{term}' AS term, b{i} AS estimate, e{i} AS std_error, b{i} / e{i} AS t_value, n, free, r2, adj_r2, "
         f"sqrt(s2) AS sigma, f_value FROM {prefix}s" for i, term in enumerate(["(Intercept)", *xs])
