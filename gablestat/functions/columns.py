@@ -7,9 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Doubles as text. Spark's own cast would also accept suffixes such as "1D" or "2F",
-# which are unit identifiers in this domain.
-NUMBER_PATTERN = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# Characters of a decimal number. Spark's own cast would also accept suffixes such as
+# "1D" or "2F", which are unit identifiers in this domain, and words such as "NaN".
+# Text that fails here never reaches the cast, whose failure is far dearer than a match.
+NUMBER_CHARACTERS = r"^[0-9eE.+-]+$"
 
 
 def _col(c: Column | str) -> Column:
@@ -23,17 +24,18 @@ def _maybe_round(c: Column, scale: int | None) -> Column:
 def try_double(c: Column | str) -> Column:
     """Plain text to double; anything that is not a number becomes null."""
     text = F.trim(_col(c).cast("string"))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.when(text.rlike(NUMBER_CHARACTERS), text.try_cast("double"))
 
 
 def parse_number(c: Column | str) -> Column:
     """``"1,150"`` to 1150.0; blank or junk to null."""
-    return try_double(F.regexp_replace(_col(c).cast("string"), ",", ""))
+    return try_double(F.translate(_col(c).cast("string"), ",", ""))
 
 
 def parse_currency(c: Column | str) -> Column:
     """``"$9,252.42"`` to 9252.42. Every other character goes, a minus sign included."""
-    return try_double(F.regexp_replace(_col(c).cast("string"), "[^0-9.]", ""))
+    text = F.regexp_replace(_col(c).cast("string"), "[^0-9.]", "")
+    return F.when(text != "", text.try_cast("double"))
 
 
 def blank_to_null(c: Column | str) -> Column:

@@ -153,16 +153,25 @@ def grid_counts(df: DataFrame, x: str, y: str, wx: float, wy: float) -> DataFram
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(x, y, r, n)`` for every ordered pair, on complete cases, from one aggregate."""
+    """``(x, y, r, n)`` for every ordered pair, on complete cases.
+
+    Means first, then one aggregate of products of centred values: plain sums stay in
+    generated code where dozens of ``corr`` aggregates would not.
+    """
     rows = complete_cases(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
-    aggs = [F.count(F.lit(1)).alias("n")]
+    means = rows.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
+    centred = rows.select(*[(F.col(c) - means[c]).alias(f"z{i}") for i, c in enumerate(cols)])
+    sums = [
+        F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s_{i}_{j}")
+        for i, j in itertools.combinations_with_replacement(range(len(cols)), 2)
+    ]
     cells = []
-    for i, j in itertools.combinations(range(len(cols)), 2):
-        aggs.append(F.corr(cols[i], cols[j]).alias(f"r_{i}_{j}"))
     for i, j in itertools.product(range(len(cols)), repeat=2):
-        r = F.lit(1.0) if i == j else F.col(f"r_{min(i, j)}_{max(i, j)}")
+        r = F.try_divide(F.col(f"s_{min(i, j)}_{max(i, j)}"), F.sqrt(F.col(f"s_{i}_{i}")) * F.sqrt(F.col(f"s_{j}_{j}")))
+        r = F.when(r.isNotNull(), F.lit(1.0)) if i == j else r
         cells.append(F.struct(F.lit(cols[i]).alias("x"), F.lit(cols[j]).alias("y"), r.alias("r")))
-    return rows.agg(*aggs).select("n", F.explode(F.array(*cells)).alias("c")).select("c.x", "c.y", "c.r", "n")
+    out = centred.agg(F.count(F.lit(1)).alias("n"), *sums)
+    return out.select("n", F.explode(F.array(*cells)).alias("c")).select("c.x", "c.y", "c.r", "n")
 
 
 def strongest_correlate(matrix: DataFrame, target: str, absolute: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestat.operators.profile import columns_over_missing, value_modes
+from gablestat.operators.profile import columns_over_missing, missing_profile, value_modes
 from gablestat.operators.quantiles import column_quantiles, nth_smallest, quantiles
 from gablestat.session import cut_lineage, ensure_checkpoint_dir
 
@@ -83,21 +83,31 @@ def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> D
 def prepare(
     df: DataFrame, features: Sequence[str], target: str, keys: Sequence[str] = (), threshold: float = 0.5
 ) -> tuple[DataFrame, list[str]]:
-    """Selection, sparse columns out, imputation and label codes; the rows are then
-    written to the checkpoint folder, as training reads them many times."""
+    """Selection, sparse columns out, imputation and label codes, as ``(keys..., features, target)``.
+
+    The chosen columns are written to the shared folder first, since profiling reads them
+    several times, and the finished vectors once more, since training does. Fill values
+    are searched for only where something is missing.
+    """
     from gablestat.operators.encoding import NominalCodes, coerce_mostly_numeric
 
     present = [c for c in features if c in df.columns]
     extra = [k for k in keys if k not in present and k != target]
-    chosen = df.select(*extra, *present, target)
-    kept = drop_sparse(chosen.select(*present), threshold).columns
+    chosen = cut_lineage(df.select(*extra, *present, target))
+    profile = missing_profile(chosen.select(*present), only_missing=False).collect()
+    kept_names = {r["column"] for r in profile if r["missing_pct"] <= threshold * 100}
+    gaps = {r["column"] for r in profile if r["missing_count"] > 0}
+    kept = [c for c in present if c in kept_names]
+    before = dict(chosen.dtypes)
     chosen = coerce_mostly_numeric(chosen.select(*extra, *kept, target), kept)
+    gaps |= {c for c, t in chosen.dtypes if before[c] != t}
     text = [f.name for f in chosen.schema.fields if f.name in kept and isinstance(f.dataType, T.StringType)]
     numbers = [c for c in kept if c not in text]
-    filled = cut_lineage(impute(chosen, numbers, text))
-    coded = NominalCodes(filled, text).transform(filled, "_code")
+    filled = impute(chosen, [c for c in numbers if c in gaps], [c for c in text if c in gaps])
+    # Imputed labels are levels already, so the codes can be learned from the rows as they are.
+    coded = NominalCodes(chosen, text).transform(filled, "_code")
     columns = [f"{c}_code" if c in text else c for c in kept]
-    return assemble(coded.select(*extra, *columns, target), columns), columns
+    return cut_lineage(assemble(coded, columns).select(*extra, "features", target)), columns
 
 
 def fit_tree(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestat.operators.quantiles import column_quantiles, value_counts, melt
+from gablestat.operators.quantiles import column_name, column_quantiles, melt, quantiles, value_counts
 
 
 def is_missing(field: T.StructField) -> Column:
@@ -90,19 +90,18 @@ def outlier_profile(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataF
     Counting reuses the value counts the quartiles were ranked on, not another scan.
     """
     tall = melt(df, cols)
-    fences = column_quantiles(df, cols, [0.25, 0.75], names=["q1", "q3"]).select(
-        "column", "q1", "q3",
-        (F.col("q1") - (F.col("q3") - F.col("q1")) * k).alias("lo"),
-        (F.col("q3") + (F.col("q3") - F.col("q1")) * k).alias("hi"),
+    width = (F.col("q3") - F.col("q1")) * k
+    # One row per profiled column: the number of columns bounds these broadcasts.
+    limits = quantiles(tall, "value", [0.25, 0.75], ["place"], names=["q1", "q3"], bounded_groups=True).select(
+        F.col("place").alias("f_place"), "q1", "q3", (F.col("q1") - width).alias("lo"), (F.col("q3") + width).alias("hi")
     )
-    limits = fences.select(F.col("column").alias("f_column"), "q1", "q3", "lo", "hi")
-    counts = value_counts(tall, "value", ["column"])
-    # One row per profiled column: the number of columns bounds this broadcast.
-    joined = counts.join(F.broadcast(limits), F.col("column").eqNullSafe(F.col("f_column")))
+    counts = value_counts(tall, "value", ["place"])
+    joined = counts.join(F.broadcast(limits), F.col("place").eqNullSafe(F.col("f_place")))
     outside = (F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))
-    return joined.groupBy("column", "q1", "q3", "lo", "hi").agg(
+    out = joined.groupBy("place", "q1", "q3", "lo", "hi").agg(
         F.sum(F.when(outside, F.col("c")).otherwise(0)).alias("n_outliers")
     )
+    return out.select(column_name(cols).alias("column"), "q1", "q3", "lo", "hi", "n_outliers")
 
 
 def value_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:

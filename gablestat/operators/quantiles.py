@@ -180,9 +180,17 @@ def quantiles(
 
 
 def melt(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., column, value)``: numeric columns stacked into one double column."""
-    doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
-    return doubles.unpivot(list(by), list(cols), "column", "value")
+    """``(by..., place, value)``: numeric columns stacked into one double column.
+
+    ``place`` is the position in ``cols``: a small integer groups faster than a name.
+    """
+    stacked = F.array(*[F.col(c).cast("double") for c in cols])
+    return df.select(*by, F.posexplode(stacked).alias("place", "value"))
+
+
+def column_name(cols: Sequence[str], place: str = "place") -> Column:
+    """Name of the column at a position of ``cols``."""
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col(place) + 1)
 
 
 def column_quantiles(
@@ -198,10 +206,11 @@ def column_quantiles(
     """``(by..., column, q...)`` for several columns in one search and one scan."""
     if bounded_groups is None:
         bounded_groups = not by
-    return quantiles(
-        melt(df, cols, by), "value", probs, [*by, "column"],
-        approx=approx, names=names, bounded_groups=bounded_groups,
+    names = list(names or [f"q{i}" for i in range(len(probs))])
+    out = quantiles(
+        melt(df, cols, by), "value", probs, [*by, "place"], approx=approx, names=names, bounded_groups=bounded_groups
     )
+    return out.select(*by, column_name(cols).alias("column"), *names)
 
 
 def medians(df: DataFrame, cols: Sequence[str], by: Sequence[str] = (), *, approx: bool = False) -> DataFrame:

@@ -55,11 +55,13 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative training cuts its own lineage in the checkpoint folder; make sure there is one."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
+    path = fresh_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
