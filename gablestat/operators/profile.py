@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestat.operators.quantiles import column_name, column_quantiles, melt, quantiles, value_counts
+from gablestat.operators.quantiles import column_name, column_quantiles, melt, numbers, quantiles
 
 
 def is_missing(field: T.StructField) -> Column:
@@ -85,21 +85,17 @@ def summary_r(df: DataFrame, cols: Sequence[str], *, approx: bool = False) -> Da
 
 
 def outlier_profile(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:
-    """``(column, q1, q3, lo, hi, n_outliers)`` by Tukey fences; missing values do not count.
-
-    Counting reuses the value counts the quartiles were ranked on, not another scan.
-    """
+    """``(column, q1, q3, lo, hi, n_outliers)`` by Tukey fences; missing values do not count."""
     tall = melt(df, cols)
     width = (F.col("q3") - F.col("q1")) * k
     # One row per profiled column: the number of columns bounds these broadcasts.
     limits = quantiles(tall, "value", [0.25, 0.75], ["place"], names=["q1", "q3"], bounded_groups=True).select(
         F.col("place").alias("f_place"), "q1", "q3", (F.col("q1") - width).alias("lo"), (F.col("q3") + width).alias("hi")
     )
-    counts = value_counts(tall, "value", ["place"])
-    joined = counts.join(F.broadcast(limits), F.col("place").eqNullSafe(F.col("f_place")))
+    joined = numbers(tall, "value", ["place"]).join(F.broadcast(limits), F.col("place").eqNullSafe(F.col("f_place")))
     outside = (F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi"))
     out = joined.groupBy("place", "q1", "q3", "lo", "hi").agg(
-        F.sum(F.when(outside, F.col("c")).otherwise(0)).alias("n_outliers")
+        F.count_if(outside).alias("n_outliers")
     )
     return out.select(column_name(cols).alias("column"), "q1", "q3", "lo", "hi", "n_outliers")
 

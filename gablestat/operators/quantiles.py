@@ -1,19 +1,19 @@
 """Exact interpolated quantiles that never hold a whole group in one task.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one hash map,
-which one hot group of a large table outgrows. Here the rank search is spread out:
-
-1. rows collapse to ``(group, value, count)``, shuffled on group *and* value, so a
-   hot group spreads over all tasks and a hot value is combined before the shuffle;
-2. values fall into buckets that depend on the value alone (1024 per power of two),
-   and the running count over the buckets of a group tells which bucket holds a rank;
-3. only that bucket is split again, into 2**20 equal slices between its extremes;
-4. the values of the one slice left are ranked one by one.
-
-A bucket is at most 0.07 % wide and a slice at most 6.6e-10 of its value wide, so a
-slice holds fewer than six million different doubles whatever the input is: every
-window below sorts a bounded number of rows. Steps 2-4 read the same shuffle files
-of step 1 (Spark reuses the exchange), so the source is scanned once.
+which one hot group of a large table outgrows. Here the rank is searched for by counting:
+
+1. values fall into buckets that depend on the value alone (1024 per power of two);
+   the running count over the buckets of a group tells which bucket holds a rank;
+2. that bucket is counted again in 2**20 equal slices between its extremes;
+3. the values in the one slice left are counted one by one.
+
+A step is left out for a rank whose bucket or slice holds a single value. A bucket is at
+most 0.07 % wide and a slice at most 6.6e-10 of its value wide, so a slice holds fewer
+than six million different doubles whatever the input is: every window below sorts a
+bounded number of counts. Only counts are shuffled, combined before the shuffle, so
+neither a hot group nor a hot value loads one task. Each step reads the rows again; put a
+costly pipeline behind ``session.cut_lineage`` first.
 """
 
 from __future__ import annotations
@@ -47,15 +47,11 @@ def _same(left: Sequence[str], right: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right)])
 
 
-def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """``(by..., v, c)``: how often each non-missing value occurs."""
-    number = F.col(value).cast("double")
-    return (
-        df.select(*[F.col(b) for b in by], number.alias("v"))
-        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
-        .groupBy(*by, "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
+def numbers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``(by..., v)``: the non-missing values as doubles."""
+    # Adding zero turns -0.0 into 0.0, so equal values are the same value everywhere.
+    number = F.col(value).cast("double") + F.lit(0.0)
+    return df.select(*[F.col(b) for b in by], number.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
 def _running(part: Sequence[str], order: str) -> Column:
@@ -63,69 +59,50 @@ def _running(part: Sequence[str], order: str) -> Column:
     return F.sum("n").over(frame)
 
 
-def ranked_values(counts: DataFrame, by: Sequence[str], targets, bounded: bool) -> DataFrame:
+def ranked_values(rows: DataFrame, by: Sequence[str], targets, bounded: bool) -> DataFrame:
     """Values at wanted 0-based ranks.
 
-    ``targets(total)`` builds an array column of ``struct(slot, rank)`` from the group
-    size. ``bounded`` says that the number of groups is known to be small, which
-    proves the size of the search state and allows a broadcast of it.
-    Result: ``(by..., slot, total, value)``.
+    ``rows`` comes from ``numbers``; ``targets(total)`` builds an array column of
+    ``struct(slot, rank)`` from the group size. ``bounded`` says that the number of groups
+    is known to be small, which proves the size of the search state and allows a
+    broadcast of it. Result: ``(by..., slot, total, value)``.
     """
     by = list(by)
     keys = [f"t_{b}" for b in by]
-    counts = counts.withColumn("bucket", _value_bucket(F.col("v")))
-
-    coarse = (
-        counts.groupBy(*by, "bucket")
-        .agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .withColumn("upto", _running(by, "bucket"))
-        .withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
-    )
-    start = F.col("upto") - F.col("n")
-    wanted = F.filter(targets(F.col("total")), lambda t: (t["rank"] >= start) & (t["rank"] < F.col("upto")))
-    state = coarse.select(
-        *[F.col(b).alias(k) for b, k in zip(by, keys)],
-        F.col("bucket").alias("t_bucket"),
-        F.col("lo").alias("t_lo"),
-        F.col("hi").alias("t_hi"),
-        start.alias("t_start"),
-        F.col("total").alias("t_total"),
-        F.explode(wanted).alias("t"),
-    ).select("*", F.col("t.slot").alias("t_slot"), F.col("t.rank").alias("t_rank")).drop("t")
-
-    def narrowed(state: DataFrame) -> DataFrame:
-        side = F.broadcast(state) if bounded else state
-        joined = counts.join(side, _same([*by, "bucket"], [*keys, "t_bucket"]), "inner")
-        return joined.filter((F.col("v") >= F.col("t_lo")) & (F.col("v") <= F.col("t_hi")))
-
-    carried = [*keys, "t_bucket", "t_slot", "t_rank", "t_start", "t_total"]
-    target = [*keys, "t_slot"]
-
-    fine = (
-        narrowed(state)
-        .withColumn("s", _slice(F.col("v"), F.col("t_lo"), F.col("t_hi")))
-        .groupBy(*carried, "s")
-        .agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .withColumn("upto", _running(target, "s") + F.col("t_start"))
-        .filter((F.col("t_rank") < F.col("upto")) & (F.col("t_rank") >= F.col("upto") - F.col("n")))
-        .select(
-            *[F.col(c) for c in carried if c != "t_start"],
-            (F.col("upto") - F.col("n")).alias("t_start"),
-            F.col("lo").alias("t_lo"),
-            F.col("hi").alias("t_hi"),
-        )
-    )
-    return (
-        narrowed(fine)
-        .withColumn("n", F.col("c"))
-        .withColumn("upto", _running(target, "v") + F.col("t_start"))
-        .filter((F.col("t_rank") < F.col("upto")) & (F.col("t_rank") >= F.col("upto") - F.col("n")))
-        .select(
-            *[F.col(k).alias(b) for b, k in zip(by, keys)],
-            F.col("t_slot").alias("slot"),
-            F.col("t_total").alias("total"),
-            F.col("v").alias("value"),
+    rows = rows.withColumn("bucket", _value_bucket(F.col("v")))
+    found = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    place = [*keys, "t_bucket"]
+    state = [*place, "t_total", "t_start", "t_lo", "t_hi", "wanted"]
+
+    def holding(pieces: DataFrame) -> DataFrame:
+        """The pieces that hold a wanted rank, given their counts up to and including them."""
+        start = F.col("upto") - F.col("n")
+        inside = F.filter(targets(F.col("t_total")), lambda t: (t["rank"] >= start) & (t["rank"] < F.col("upto")))
+        bounds = [start.alias("t_start"), F.col("lo").alias("t_lo"), F.col("hi").alias("t_hi")]
+        kept = pieces.withColumn("wanted", inside).filter(F.size("wanted") > 0)
+        return kept.select(*place, "t_total", *bounds, "wanted").select(*state)
+
+    def split_up(parents: DataFrame, piece: Column) -> DataFrame:
+        """Rows within the bounds of a parent, counted per piece of it."""
+        side = F.broadcast(parents) if bounded else parents
+        within = rows.join(side.drop("wanted"), _same([*by, "bucket"], place), "inner").filter(
+            (F.col("v") >= F.col("t_lo")) & (F.col("v") <= F.col("t_hi"))
         )
+        carried = [*place, "t_lo", "t_start", "t_total"]
+        counts = within.groupBy(*carried, piece.alias("piece")).agg(*found)
+        return holding(counts.withColumn("upto", _running([*place, "t_lo"], "piece") + F.col("t_start")))
+
+    buckets = rows.groupBy(*[F.col(b).alias(k) for b, k in zip(by, keys)], F.col("bucket").alias("t_bucket")).agg(*found)
+    total = F.sum("n").over(Window.partitionBy(*keys))
+    chosen = holding(buckets.withColumns({"upto": _running(keys, "t_bucket"), "t_total": total}))
+    slices = split_up(chosen.filter("t_lo < t_hi"), _slice(F.col("v"), F.col("t_lo"), F.col("t_hi")))
+    values = split_up(slices.filter("t_lo < t_hi"), F.col("v"))
+    settled = chosen.filter("t_lo = t_hi").unionByName(slices.filter("t_lo = t_hi")).unionByName(values)
+    return settled.select(
+        *[F.col(k).alias(b) for b, k in zip(by, keys)],
+        F.col("t_total").alias("total"),
+        F.col("t_lo").alias("value"),
+        F.explode("wanted.slot").alias("slot"),
     )
 
 
@@ -168,7 +145,7 @@ def quantiles(
             wanted.append(F.struct(F.lit(2 * i + 1).alias("slot"), F.ceil(position(p, total)).alias("rank")))
         return F.array(*wanted)
 
-    ranked = ranked_values(value_counts(df, value, by), by, targets, bounded_groups)
+    ranked = ranked_values(numbers(df, value, by), by, targets, bounded_groups)
     picks = [F.max(F.when(F.col("slot") == s, F.col("value"))).alias(f"v{s}") for s in range(2 * len(probs))]
     wide = ranked.groupBy(*by).agg(F.max("total").alias("total"), *picks)
     columns = []
@@ -227,4 +204,4 @@ def nth_smallest(df: DataFrame, value: str, rank, by: Sequence[str] = (), *, bou
     def targets(total: Column) -> Column:
         return F.array(F.struct(F.lit(0).alias("slot"), rank(total).cast("bigint").alias("rank")))
 
-    return ranked_values(value_counts(df, value, by), by, targets, bounded_groups).drop("slot")
+    return ranked_values(numbers(df, value, by), by, targets, bounded_groups).drop("slot")

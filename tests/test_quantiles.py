@@ -101,11 +101,19 @@ def test_nth_smallest(spark):
     assert got == {"a": (10, 7.0), "b": (10, 7.0)}
 
 
-def test_source_is_scanned_once(spark, tmp_path):
+def test_scans_read_only_key_and_value(spark, tmp_path):
     path = str(tmp_path / "t")
-    spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x")).write.parquet(path)
+    wide = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), F.lit("pad").alias("rest"))
+    wide.write.parquet(path)
     out = quantiles(spark.read.parquet(path), "x", [0.5], ["g"], bounded_groups=True)
     out.collect()
     text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    assert text.count("FileScan") == 1
-    assert "ReusedExchange" in text
+    schemas = [line.split("ReadSchema: ")[1].strip() for line in text.splitlines() if "ReadSchema" in line]
+    assert schemas and set(schemas) == {"struct<g:bigint,x:double>"}
+    assert "SortMergeJoin" not in text
+
+
+def test_hot_value_settles_in_its_bucket(spark):
+    rows = [(0.0,)] * 5000 + [(float(i),) for i in range(1, 2001)]
+    df = spark.createDataFrame(rows, "x double").repartition(4)
+    assert tuple(quantiles(df, "x", [0.1, 0.5, 0.9]).first()) == pytest.approx(tuple(np.quantile([r[0] for r in rows], [0.1, 0.5, 0.9])))
