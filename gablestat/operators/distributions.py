@@ -160,7 +160,8 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     rows = complete_cases(df.select(*[F.col(c).cast("double").alias(c) for c in cols]))
     means = rows.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
-    centred = rows.select(*[(F.col(c) - means[c]).alias(f"z{i}") for i, c in enumerate(cols)])
+    centred = rows.withColumn("__m", means)
+    centred = centred.select(*[(F.col(c) - F.col("__m")[c]).alias(f"z{i}") for i, c in enumerate(cols)])
     sums = [
         F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"s_{i}_{j}")
         for i, j in itertools.combinations_with_replacement(range(len(cols)), 2)

@@ -105,8 +105,9 @@ def tukey_hsd(df: DataFrame, value: str, group: str, min_n: int = 1, confidence:
         F.col("a.group").alias("group1"), F.col("b.group").alias("group2"),
         F.col("a.n").alias("n1"), F.col("b.n").alias("n2"),
         (F.col("b.mean") - F.col("a.mean")).alias("diff"),
-        table["mse"].alias("mse"), table["groups"].cast("double").alias("k"),
-        table["df_within"].cast("double").alias("dfw"),
+        table.alias("t"),
+    ).withColumns(
+        {"mse": F.col("t.mse"), "k": F.col("t.groups").cast("double"), "dfw": F.col("t.df_within").cast("double")}
     ).withColumn("noise", noise)
     out = out.withColumn("q", F.abs("diff") / F.col("noise"))
     half = range_critical(F.lit(float(confidence)), "k", "dfw") * F.col("noise")

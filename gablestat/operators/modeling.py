@@ -22,19 +22,22 @@ def drop_sparse(df: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def impute(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], *, approx: bool = False) -> DataFrame:
     """Missing numbers become the column's median, missing labels its most frequent value."""
-    fills = {}
+    # Each set of fill values enters the plan once, as a column, however many columns use it.
+    columns, fills = df.columns, {}
     if numeric:
-        tall = column_quantiles(df, numeric, [0.5], approx=approx, names=["m"])
+        tall = column_quantiles(df.select(*numeric), numeric, [0.5], approx=approx, names=["m"])
         middle = tall.agg(F.map_from_entries(F.collect_list(F.struct("column", "m"))).alias("m")).scalar()
+        df = df.withColumn("__middle", middle)
         for c in numeric:
             x = F.col(c).cast("double")
-            fills[c] = F.coalesce(F.when(~F.isnan(x), x), F.try_element_at(middle, F.lit(c)))
+            fills[c] = F.coalesce(F.when(~F.isnan(x), x), F.try_element_at(F.col("__middle"), F.lit(c)))
     if categorical:
-        found = value_modes(df, categorical)
+        found = value_modes(df.select(*categorical), categorical)
         common = found.agg(F.map_from_entries(F.collect_list(F.struct("column", "mode"))).alias("m")).scalar()
+        df = df.withColumn("__common", common)
         for c in categorical:
-            fills[c] = F.coalesce(F.col(c).cast("string"), F.try_element_at(common, F.lit(c)))
-    return df.withColumns(fills)
+            fills[c] = F.coalesce(F.col(c).cast("string"), F.try_element_at(F.col("__common"), F.lit(c)))
+    return df.withColumns(fills).select(*columns)
 
 
 def hash_number(keys: Sequence[str], seed: int, digits: int) -> Column:
@@ -61,8 +64,10 @@ def split_stratified(
     probs = [i / (groups - 1) for i in range(1, groups - 1)]
     cuts = quantiles(df, y, probs)
     edges = cuts.select(F.array(*cuts.columns).alias("e")).scalar()
-    stratum = sum((F.col(y) > edges[i]).cast("int") for i in range(len(probs)))
-    rows = df.withColumns({"stratum": stratum, "__h": hash_number(keys, seed, 13).cast("double")})
+    stratum = F.size(F.filter("__edges", lambda e: F.col(y) > e))
+    rows = df.withColumn("__edges", edges).withColumns(
+        {"stratum": stratum, "__h": hash_number(keys, seed, 13).cast("double")}
+    ).drop("__edges")
 
     def rank(total: Column) -> Column:
         return F.greatest(F.ceil(total * F.lit(float(frac))) - 1, F.lit(0))

@@ -194,7 +194,10 @@ def residuals(
 ) -> DataFrame:
     """``(keep..., actual, fitted, residual)`` for rows with every model variable."""
     pairs = F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("estimate", F.lit(0.0)))))
-    b = coefficients.agg(pairs.alias("b")).scalar()
+    columns = list(dict.fromkeys([*keep, y, *numeric, *categorical]))
+    rows = df.dropna(subset=[y, *numeric, *categorical]).select(*columns)
+    rows = rows.withColumn("__b", coefficients.agg(pairs.alias("b")).scalar())
+    b = F.col("__b")
     fitted = F.try_element_at(b, F.lit("(Intercept)"))
     for c in numeric:
         fitted = fitted + F.try_element_at(b, F.lit(c)) * F.col(c).cast("double")
@@ -202,7 +205,6 @@ def residuals(
         own = F.try_element_at(b, F.concat(F.lit(c), F.col(c)))
         # The reference level has no term of its own, an unseen level no fitted value.
         fitted = fitted + (F.when(F.col(c) == (ref or {})[c], 0.0).otherwise(own) if c in (ref or {}) else F.coalesce(own, F.lit(0.0)))
-    rows = df.dropna(subset=[y, *numeric, *categorical])
     out = rows.select(*keep, F.col(y).cast("double").alias("actual"), fitted.alias("fitted"))
     return out.withColumn("residual", F.col("actual") - F.col("fitted"))
 

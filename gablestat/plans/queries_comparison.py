@@ -11,7 +11,8 @@ from gablestat.plans.binding import (
     NEW, OLD, PAIR_MEASURES, assessments, dirty_assessments, exact_sum, paired_panel,
 )
 from gablestat.plans.catalog import over_pair, over_view, register
-from gablestat.plans.cleaning import clean_for_comparison, clean_for_regression, clean_for_tests
+from gablestat.plans.cleaning import clean_for_comparison, clean_for_regression, clean_for_tests, parse_roll
+from gablestat.session import cut_lineage
 
 SUFFIXES = (f"_{OLD}", f"_{NEW}")
 CHANGES = {
@@ -220,7 +221,9 @@ _ALL = ["pid", "fiscal_year", "city", "bldg_type", "yr_built", "own_occ", "bed_r
     ),
 )
 def c1(spark, folder):
-    rows = clean_for_comparison(dirty_assessments(spark, folder, _ALL, (OLD, NEW)), NEW)
+    # Text is parsed once and kept typed: the fences read it several times.
+    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _ALL, (OLD, NEW))))
+    rows = clean_for_comparison(typed, NEW)
     return rows.groupBy("fiscal_year", "city_clean", "bldg_type_clean").agg(
         F.count(F.lit(1)).alias("n"), exact_sum(F.col("total_value")).alias("total_value"),
         F.round(F.avg("tax_to_value_ratio"), 8).alias("ratio"), F.round(F.avg("age_of_property"), 8).alias("age"),
@@ -269,7 +272,8 @@ def c3(spark, folder):
     ),
 )
 def w1_top(spark, folder):
-    rows = clean_for_comparison(dirty_assessments(spark, folder, _ALL, (OLD, NEW)), NEW)
+    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _ALL, (OLD, NEW))))
+    rows = cut_lineage(clean_for_comparison(typed, NEW))
     top = groups.top_categories(rows.filter(F.col("fiscal_year") == NEW), "bldg_type_clean", n=4)
     out = groups.share_within(groups.keep_categories(rows, "bldg_type_clean", top), ["fiscal_year"], "bldg_type_clean")
     return out.withColumn("pct", F.round("pct", 9))
