@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gablestat.operators.quantiles import quantiles
+from gablestat.operators.quantiles import FEW_GROUPS, quantiles
 
 
 def group_profile(
@@ -44,9 +44,15 @@ def top_categories(df: DataFrame, col: str, n: int | None = None, min_n: int | N
     return group_profile(df, col, {}, min_n=min_n, order="n", top=n)
 
 
-def keep_categories(df: DataFrame, col: str, categories: DataFrame) -> DataFrame:
-    """Rows whose category is listed; the list stays a DataFrame."""
+def keep_categories(df: DataFrame, col: str, categories: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Rows whose category is listed; the list stays a DataFrame.
+
+    ``at_most`` states how long the list can be, as for a top-n list: it is then broadcast
+    and the rows stay where they are.
+    """
     listed = categories.select(F.col(col).alias("__listed"))
+    if at_most is not None and at_most <= FEW_GROUPS:
+        listed = F.broadcast(listed)
     return df.join(listed, F.col(col) == F.col("__listed"), "left_semi")
 
 

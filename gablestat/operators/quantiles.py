@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_OCTAVE = 1024
+# Up to this many groups, one small row per group and rank may be broadcast.
+FEW_GROUPS = 20000
 SLICES = 1 << 20
 # Exponents of doubles lie in -1074..1024; the offset makes every bucket of |v| positive.
 _OFFSET = 1100 * BUCKETS_PER_OCTAVE
@@ -54,6 +56,12 @@ def numbers(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     return df.select(*[F.col(b) for b in by], number.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
+def few_groups(df: DataFrame, by: Sequence[str], limit: int = FEW_GROUPS) -> bool:
+    """Whether the groups are few enough to broadcast something per group: one job over the
+    group columns, which ends as soon as the limit is passed."""
+    return not by or df.select(*by).distinct().limit(limit + 1).count() <= limit
+
+
 def _running(part: Sequence[str], order: str) -> Column:
     frame = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return F.sum("n").over(frame)
@@ -121,6 +129,8 @@ def quantiles(
 
     Linear interpolation between order statistics, position ``(n - 1) * p``; missing
     values are left out. ``approx=True`` uses Spark's bounded quantile sketch instead.
+    Unless ``bounded_groups`` says it, the groups are counted to see whether the search
+    state may be broadcast; with too many of them it is joined by shuffle.
     """
     by = list(by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
@@ -133,7 +143,7 @@ def quantiles(
             .select(*by, *[F.col("sketch")[i].alias(name) for i, name in enumerate(names)])
         )
     if bounded_groups is None:
-        bounded_groups = not by
+        bounded_groups = few_groups(df, by)
 
     def position(p: float, total: Column) -> Column:
         return (total - 1) * F.lit(float(p))
@@ -181,8 +191,8 @@ def column_quantiles(
     bounded_groups: bool | None = None,
 ) -> DataFrame:
     """``(by..., column, q...)`` for several columns in one search and one scan."""
-    if bounded_groups is None:
-        bounded_groups = not by
+    if bounded_groups is None and not approx:
+        bounded_groups = few_groups(df, by)
     names = list(names or [f"q{i}" for i in range(len(probs))])
     out = quantiles(
         melt(df, cols, by), "value", probs, [*by, "place"], approx=approx, names=names, bounded_groups=bounded_groups

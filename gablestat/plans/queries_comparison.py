@@ -275,5 +275,5 @@ def w1_top(spark, folder):
     typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _ALL, (OLD, NEW))))
     rows = cut_lineage(clean_for_comparison(typed, NEW))
     top = groups.top_categories(rows.filter(F.col("fiscal_year") == NEW), "bldg_type_clean", n=4)
-    out = groups.share_within(groups.keep_categories(rows, "bldg_type_clean", top), ["fiscal_year"], "bldg_type_clean")
+    out = groups.share_within(groups.keep_categories(rows, "bldg_type_clean", top, at_most=4), ["fiscal_year"], "bldg_type_clean")
     return out.withColumn("pct", F.round("pct", 9))

@@ -187,7 +187,7 @@ def a13_type(spark, folder):
     rows = assessments(spark, folder, ["fiscal_year", "bldg_type", "total_value"])
     rows = rows.withColumn("bldg_type_clean", C.strip_prefix("bldg_type"))
     top = groups.top_categories(rows.filter(F.col("fiscal_year") == NEW), "bldg_type_clean", n=4)
-    kept = groups.keep_categories(rows, "bldg_type_clean", top)
+    kept = groups.keep_categories(rows, "bldg_type_clean", top, at_most=4)
     from gablestat.operators.quantiles import quantiles
 
     out = quantiles(kept, "total_value", [0.5], ["fiscal_year", "bldg_type_clean"], names=["median_value"])
@@ -256,7 +256,7 @@ def f8(spark, folder):
 )
 def j3(spark, folder):
     rows = assessments(spark, folder, ["pid", "city"])
-    return groups.keep_categories(rows, "city", groups.top_categories(rows, "city", n=5))
+    return groups.keep_categories(rows, "city", groups.top_categories(rows, "city", n=5), at_most=5)
 
 
 @register(
