@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 from gablestat.functions import columns as C
 from gablestat.operators import groups
 from gablestat.operators.profile import overview
-from gablestat.plans.binding import NEW, OLD, assessments, dirty_assessments
+from gablestat.operators.quantiles import quantiles
+from gablestat.plans.binding import NEW, assessments, dirty_assessments
 from gablestat.plans.catalog import over_view, register
 from gablestat.plans.cleaning import derive_ratios, parse_roll
 
-_PSF = "round(total_value / living_area, 2)"
-
-
 def value_by_city(spark, folder, min_n: int = 100):
     """Typed text to top cities: parse, derive, group, keep large groups, best fifteen."""
     raw = dirty_assessments(spark, folder, ["city", "total_value", "gross_tax", "living_area", "yr_built"])
@@ -25,7 +23,6 @@ def value_by_city(spark, folder, min_n: int = 100):
     }
     return groups.group_profile(rows, "city", metrics, min_n=min_n, order="avg_value", top=15)
 
-
 @register(
     "a1_value_by_city",
     over_view(
@@ -37,7 +34,6 @@ def value_by_city(spark, folder, min_n: int = 100):
 def a1(spark, folder):
     return value_by_city(spark, folder)
 
-
 @register(
     "a2_value_by_building_type",
     over_view(
@@ -49,7 +45,6 @@ def a2(spark, folder):
     rows = assessments(spark, folder, ["bldg_type", "total_value"]).dropna()
     return groups.group_profile(rows, "bldg_type", {"avg_value": F.round(F.avg("total_value"), 6)}, order="n", top=15)
 
-
 @register(
     "a3_psf_summary",
     over_view(
@@ -63,7 +58,6 @@ def a3(spark, folder):
     out = groups.summary_stats(rows, "psf", 0, 10000, "psf")
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
-
 @register(
     "a4_count_by_year_built",
     over_view(f"SELECT yr_built, count(*) AS n FROM a WHERE yr_built > 1700 AND yr_built <= {NEW} GROUP BY 1"),
@@ -72,7 +66,6 @@ def a4(spark, folder):
     rows = assessments(spark, folder, ["yr_built"]).filter(C.half_open_year("yr_built", 1700, NEW))
     return groups.count_by(rows, "yr_built")
 
-
 @register(
     "a5_value_by_bedrooms",
     over_view("SELECT bed_rms, round(avg(total_value), 6) AS avg_value, count(*) AS n FROM a WHERE bed_rms BETWEEN 1 AND 8 GROUP BY 1"),
@@ -82,7 +75,6 @@ def a5(spark, folder):
     out = groups.premium(rows, [], "bed_rms", 1, 8, "total_value")
     return out.withColumn("avg_value", F.round("avg_value", 6))
 
-
 @register(
     "a6_tax_burden_by_city",
     over_view(
@@ -97,7 +89,6 @@ def a6(spark, folder):
     out = groups.group_profile(rows, "city", {"avg_tax_ratio": F.avg("ratio")}, min_n=100, order="avg_tax_ratio", top=15)
     return out.withColumn("avg_tax_ratio", F.round("avg_tax_ratio", 8))
 
-
 @register(
     "a7_overview",
     over_view(
@@ -117,7 +108,6 @@ def a7(spark, folder):
     )
     return out.select(*[F.round(c, 6).alias(c) if c.startswith("avg_") else F.col(c) for c in out.columns])
 
-
 @register(
     "a11_value_by_zip",
     over_view(
@@ -130,10 +120,8 @@ def a11(spark, folder):
     metrics = {"avg_value": F.round(F.avg("total_value"), 6)}
     return groups.group_profile(rows, "zip_code", metrics, min_n=50, order="avg_value", top=20)
 
-
 _CLEAN = "regexp_replace(bldg_type, '^.* - ', '')"
 
-
 @register(
     "a12_top_building_types",
     over_view(f"SELECT {_CLEAN} AS bldg_type_clean, count(*) AS n FROM a GROUP BY 1 ORDER BY n DESC, 1 LIMIT 4"),
@@ -142,7 +130,6 @@ def a12(spark, folder):
     rows = assessments(spark, folder, ["bldg_type"]).select(C.strip_prefix("bldg_type").alias("bldg_type_clean"))
     return groups.top_categories(rows, "bldg_type_clean", n=4)
 
-
 @register(
     "a12_frequent_use_codes",
     over_view("SELECT lu_desc, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 900"),
@@ -150,7 +137,6 @@ def a12(spark, folder):
 def a12_frequent(spark, folder):
     return groups.top_categories(assessments(spark, folder, ["lu_desc"]), "lu_desc", min_n=900)
 
-
 def _median_premium(step, lo, hi):
     def run(spark, folder):
         rows = assessments(spark, folder, ["fiscal_year", step, "total_value"])
@@ -160,7 +146,6 @@ def _median_premium(step, lo, hi):
 
     return run
 
-
 for _name, _step, _lo, _hi in (
     ("a13_median_by_bedrooms", "bed_rms", 1, 6),
     ("a13_median_by_bathrooms", "full_bth", 1, 5),
@@ -174,7 +159,6 @@ for _name, _step, _lo, _hi in (
         ),
     )(_median_premium(_step, _lo, _hi))
 
-
 @register(
     "a13_median_by_building_type",
     over_view(
@@ -188,12 +172,9 @@ def a13_type(spark, folder):
     rows = rows.withColumn("bldg_type_clean", C.strip_prefix("bldg_type"))
     top = groups.top_categories(rows.filter(F.col("fiscal_year") == NEW), "bldg_type_clean", n=4)
     kept = groups.keep_categories(rows, "bldg_type_clean", top, at_most=4)
-    from gablestat.operators.quantiles import quantiles
-
     out = quantiles(kept, "total_value", [0.5], ["fiscal_year", "bldg_type_clean"], names=["median_value"])
     return out.withColumn("median_value", F.round("median_value", 6))
 
-
 @register("a18_value_range", over_view("SELECT min(total_value) AS low, max(total_value) AS high, min(gross_tax) AS low_tax, max(gross_tax) AS high_tax FROM a"))
 def a18(spark, folder):
     rows = assessments(spark, folder, ["total_value", "gross_tax"])
@@ -202,7 +183,6 @@ def a18(spark, folder):
         F.min("gross_tax").alias("low_tax"), F.max("gross_tax").alias("high_tax"),
     )
 
-
 @register(
     "a19_extreme_city",
     over_view(
@@ -215,7 +195,6 @@ def a19(spark, folder):
     means = rows.groupBy("city").agg(F.round(F.avg("total_value"), 6).alias("avg_value"))
     return groups.extreme_label(means, "city", "avg_value")
 
-
 @register(
     "a20_conditional_aggregates",
     over_view(
@@ -233,12 +212,10 @@ def a20(spark, folder):
         F.round(F.avg(F.when(F.col("bed_rms") >= 3, F.col("total_value"))), 6).alias("mean_large"),
     )
 
-
 @register("a26_mean_age", over_view(f"SELECT round(avg({NEW} - yr_built), 9) AS mean_age FROM a"))
 def a26(spark, folder):
     return assessments(spark, folder, ["yr_built"]).agg(F.round(F.avg(C.age(NEW, "yr_built")), 9).alias("mean_age"))
 
-
 @register(
     "f8_having_group_size",
     over_view("SELECT city, round(avg(total_value), 6) AS avg_value, count(*) AS n FROM a GROUP BY 1 HAVING count(*) >= 1800"),
@@ -247,7 +224,6 @@ def f8(spark, folder):
     rows = assessments(spark, folder, ["city", "total_value"])
     return groups.group_profile(rows, "city", {"avg_value": F.round(F.avg("total_value"), 6)}, min_n=1800)
 
-
 @register(
     "j3_keep_top_categories",
     over_view(
@@ -258,7 +234,6 @@ def j3(spark, folder):
     rows = assessments(spark, folder, ["pid", "city"])
     return groups.keep_categories(rows, "city", groups.top_categories(rows, "city", n=5), at_most=5)
 
-
 @register(
     "t1_top_properties",
     over_view("SELECT pid, total_value FROM a ORDER BY total_value DESC, pid LIMIT 25"),
@@ -267,12 +242,10 @@ def t1(spark, folder):
     rows = assessments(spark, folder, ["pid", "total_value"])
     return rows.orderBy(F.col("total_value").desc(), "pid").limit(25)
 
-
 @register("t2_order_by_key", over_view("SELECT num_parking, count(*) AS n FROM a GROUP BY 1 ORDER BY 1"))
 def t2(spark, folder):
     return groups.count_by(assessments(spark, folder, ["num_parking"]), "num_parking")
 
-
 @register(
     "t4_order_by_metric",
     over_view("SELECT bldg_type, round(avg(total_value) / 1000000, 9) AS value_millions, count(*) AS n FROM a GROUP BY 1 ORDER BY 2"),
@@ -282,7 +255,6 @@ def t4(spark, folder):
     metrics = {"value_millions": F.round(F.avg("total_value") / 1e6, 9)}
     return groups.group_profile(rows, "bldg_type", metrics, order="value_millions", descending=False)
 
-
 @register(
     "w1_share_within_year",
     over_view(

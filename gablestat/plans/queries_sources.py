@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gablestat.functions import columns as C
 from gablestat.plans.binding import NEW, OLD, assessments, dirty_assessments, exact_sum
 from gablestat.plans.catalog import over_view, register
 from gablestat.plans.cleaning import parse_roll

@@ -44,7 +44,7 @@ def test_strip_prefix(spark, text, expected):
 
 @pytest.mark.parametrize(
     "text, expected",
-    [("  EAST BOSTON ", "East Boston"), ("east boston-south o'neil", "East Boston-South O'neil"), ("front/STREET", "Front/Street"), (None, None)],
+    [("  EAST HARBOR ", "East Harbor"), ("east harbor-south o'neil", "East Harbor-South O'neil"), ("front/STREET", "Front/Street"), (None, None)],
 )
 def test_title_trim(spark, text, expected):
     assert value(spark, C.title_trim, text) == expected
