@@ -12,10 +12,15 @@ from gablestat.plans.binding import NEW, assessments, dirty_assessments
 from gablestat.plans.catalog import over_view, register
 from gablestat.plans.cleaning import derive_ratios, parse_roll
 
+# Half up on the decimal digits of the quotient, as Spark rounds a double.
+_PSF = "CAST(round(CAST(CAST(total_value / living_area AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE)"
+_RATIO = "round(gross_tax / total_value * 100, 4)"
+
+
 def value_by_city(spark, folder, min_n: int = 100):
     """Typed text to top cities: parse, derive, group, keep large groups, best fifteen."""
     raw = dirty_assessments(spark, folder, ["city", "total_value", "gross_tax", "living_area", "yr_built"])
-    rows = derive_ratios(parse_roll(raw), NEW).filter(F.col("total_value").isNotNull())
+    rows = derive_ratios(parse_roll(raw), NEW, rounded=True).filter(F.col("total_value").isNotNull())
     metrics = {
         "avg_value": F.round(F.avg("total_value"), 6),
         "avg_tax": F.round(F.avg("gross_tax"), 6),
@@ -27,7 +32,7 @@ def value_by_city(spark, folder, min_n: int = 100):
     "a1_value_by_city",
     over_view(
         "SELECT city, round(avg(total_value), 6) AS avg_value, round(avg(gross_tax), 6) AS avg_tax, "
-        "round(avg(total_value / living_area), 6) AS avg_psf, count(*) AS n FROM a WHERE pid % 10 <> 0 "
+        f"round(avg({_PSF}), 6) AS avg_psf, count(*) AS n FROM a WHERE pid % 10 <> 0 "
         "GROUP BY city HAVING count(*) >= 100 ORDER BY avg_value DESC, city LIMIT 15"
     ),
 )
@@ -49,12 +54,12 @@ def a2(spark, folder):
     "a3_psf_summary",
     over_view(
         "SELECT round(avg(psf), 6) AS mean_psf, round(stddev_samp(psf), 6) AS stddev_psf, round(min(psf), 6) AS min_psf, "
-        "round(max(psf), 6) AS max_psf FROM (SELECT total_value / living_area AS psf FROM a) WHERE psf > 0 AND psf < 10000"
+        f"round(max(psf), 6) AS max_psf FROM (SELECT {_PSF} AS psf FROM a) WHERE psf > 0 AND psf < 10000"
     ),
 )
 def a3(spark, folder):
     rows = assessments(spark, folder, ["total_value", "living_area"])
-    rows = rows.select(C.price_per_area("total_value", "living_area").alias("psf"))
+    rows = rows.select(C.price_per_area("total_value", "living_area", 2).alias("psf"))
     out = groups.summary_stats(rows, "psf", 0, 10000, "psf")
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
@@ -79,13 +84,13 @@ def a5(spark, folder):
     "a6_tax_burden_by_city",
     over_view(
         "SELECT city, round(avg(ratio), 8) AS avg_tax_ratio, count(*) AS n "
-        "FROM (SELECT city, gross_tax / total_value * 100 AS ratio FROM a) WHERE ratio > 0 AND ratio < 10 "
+        f"FROM (SELECT city, {_RATIO} AS ratio FROM a) WHERE ratio > 0 AND ratio < 10 "
         "GROUP BY 1 HAVING count(*) >= 100 ORDER BY avg(ratio) DESC, city LIMIT 15"
     ),
 )
 def a6(spark, folder):
     rows = assessments(spark, folder, ["city", "gross_tax", "total_value"])
-    rows = rows.withColumn("ratio", C.ratio_pct("gross_tax", "total_value")).filter(C.between_open("ratio", 0, 10))
+    rows = rows.withColumn("ratio", C.ratio_pct("gross_tax", "total_value", 4)).filter(C.between_open("ratio", 0, 10))
     out = groups.group_profile(rows, "city", {"avg_tax_ratio": F.avg("ratio")}, min_n=100, order="avg_tax_ratio", top=15)
     return out.withColumn("avg_tax_ratio", F.round("avg_tax_ratio", 8))
 
