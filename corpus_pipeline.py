@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gablestat.llm.exact_dedup import duplicate_groups
+from gablestat.llm.jaccard_join import near_duplicates
 from gablestat.llm.packing import pack, pieces
 from gablestat.llm.quality_rules import fails, ledger
+from gablestat.llm.substring_dedup import repeated_passages, without_passages
 from gablestat.session import cut_lineage
 
 
@@ -26,6 +28,18 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id."""
+    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has too are cut; documents stay, with ``n_chars`` of what is left."""
+    left = without_passages(docs, repeated_passages(docs))
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
     import public_tokenizers
@@ -36,6 +50,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_dedup),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
     ("best_fit_packing", best_fit_packing),
 ]
 

@@ -119,3 +119,65 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     # the ids of byte_bpe_50k.json: the same vocabulary as ranks, with its one special string
     return pack(pieces(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, (("<|endoftext|>", 50256),)))
+
+
+SQL_JACCARD = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)
+), r AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(b) FROM r WHERE r.a = d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id)
+"""
+
+
+@_register("op8_jaccard_join", SQL_JACCARD)
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.jaccard_join import near_duplicates
+
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@_register("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.substring_dedup import repeated_passages
+
+    return repeated_passages(_documents(spark, sf_dir)).select("doc_id", "source_id", F.col("start").alias("start_word"), F.col("stop").alias("stop_word"))
+
+
+@_register("op6_language_id")
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.language_id import LanguageId, trainable
+
+    docs = _documents(spark, sf_dir)
+    model = LanguageId().fit(docs.where(trainable(held_out(), F.col("doc_id"))))
+    return model.transform(docs.select("doc_id", held_out().alias("held_out"), "text")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@_register("op1_toxicity")
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.toxicity import ToxicityScorer
+
+    docs = _documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out() & F.col("doc_id").isNotNull())
+    model = ToxicityScorer().fit(docs, labels)
+    return model.transform(docs.select("doc_id", held_out().alias("held_out"), "text")).select(
+        "doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "evidence")
+
+
+@_register("op2_quality_classifier")
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.weak_quality import WeakQuality
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    return WeakQuality().fit(docs).transform(docs).drop("text")
