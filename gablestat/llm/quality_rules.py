@@ -22,7 +22,7 @@ SYMBOLS = "#*$%&|<>"
 RULES: dict[str, tuple[int, str]] = {
     "too_few_words": (0, "n_words < 50"),
     "repeated_words": (1, "100 * n_repeat_words > 50 * n_words"),
-    "many_symbols": (2, "100 * n_symbols > 80 * n_words"),
+    "many_symbols": (2, "100 * n_symbols > 30 * n_words"),
     "duplicate_lines": (3, "100 * n_dup_lines > 45 * n_lines"),
     "word_length": (4, "word_chars < 2 * n_words or word_chars > 20 * n_words"),
     "shouting": (5, "100 * n_exclaims > 80 * n_words"),

@@ -56,7 +56,7 @@ WITH w AS (
     CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(s.n, 0) AS BIGINT) AS n_repeat_words
   FROM m LEFT JOIN s USING (doc_id)
 ), b AS (
-  SELECT *, CAST((n_words < 50)::INT * 1 + (100 * n_repeat_words > 50 * n_words)::INT * 2 + (100 * n_symbols > 80 * n_words)::INT * 4
+  SELECT *, CAST((n_words < 50)::INT * 1 + (100 * n_repeat_words > 50 * n_words)::INT * 2 + (100 * n_symbols > 30 * n_words)::INT * 4
     + (100 * n_dup_lines > 45 * n_lines)::INT * 8 + (word_chars < 2 * n_words OR word_chars > 20 * n_words)::INT * 16
     + (100 * n_exclaims > 80 * n_words)::INT * 32 AS BIGINT) AS failed_bits FROM f
 )

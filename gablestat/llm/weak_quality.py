@@ -5,7 +5,7 @@ are one of few patterns, so all documents reduce to counts of patterns. Expectat
 often each labeller gives each vote to good and to bad texts, and from that the posterior of every pattern. Posteriors are the
 soft labels on which a linear scorer over hashed words and word shapes is trained; it scores every whole text.
 
-Bounds: at most ``3 ** 7`` pattern counts reach the driver; the scorer is trained on about ``SAMPLE`` texts (chosen
+Bounds: at most ``3 ** 9`` pattern counts reach the driver; the scorer is trained on about ``SAMPLE`` texts (chosen
 by hash, patterns and posteriors cover all), of each the counts of its hashed features; ``DIMENSIONS`` weights are broadcast.
 
 Defined results: a null, empty or blank text has only abstentions, a posterior like any such pattern's, and the scorer's
@@ -27,7 +27,9 @@ from gablestat.llm.words import Words, buffers, mix, sliced_bytes
 DIMENSIONS, SAMPLE, SEED = 1 << 16, 6_000, 5
 #: Labellers: name, measure, bad if above, good if at most; between the two they abstain.
 LABELLERS = (
-    ("symbols", "symbols", 0.9, 0.1),
+    ("symbols", "symbols", 0.3, 0.1),
+    ("marked", "marked", 0.3, 0.05),
+    ("signs", "signs", 0.1, 0.06),
     ("exclaims", "exclaims", 0.8, 0.1),
     ("capitals", "capitals", 0.6, 0.3),
     ("echoes", "echoes", 0.25, 0.05),
@@ -37,6 +39,7 @@ LABELLERS = (
 )
 _BYTES = np.arange(256)
 _SYMBOL = np.isin(_BYTES, np.frombuffer(b"#*$%&|<>", np.uint8))
+_SIGN = ((_BYTES > 32) & (_BYTES < 48)) | ((_BYTES > 57) & (_BYTES < 65)) | ((_BYTES > 90) & (_BYTES < 97)) | ((_BYTES > 122) & (_BYTES < 127))
 _UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 97) & (_BYTES <= 122)
 _SHAPES = 64
 
@@ -52,6 +55,7 @@ def _measures(data: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str,
     raw = data[offsets[0] : offsets[-1]]
     n = np.diff(words.first).astype(np.float64)
     letters, capitals = _per_text((_UPPER | _LOWER)[raw], at), _per_text(_UPPER[raw], at)
+    marks = np.concatenate([[0], np.cumsum(_SYMBOL[raw])])
     text = np.repeat(np.arange(words.n), np.diff(words.first))
     echo = np.zeros(len(words.hash), dtype=bool)
     echo[1:] = (words.hash[1:] == words.hash[:-1]) & (text[1:] == text[:-1])
@@ -68,7 +72,8 @@ def _measures(data: np.ndarray, offsets: np.ndarray, words: Words) -> dict[str,
             lines[i] = 1 - len(set(parts)) / len(parts)
     with np.errstate(divide="ignore", invalid="ignore"):
         return {
-            "symbols": _per_text(_SYMBOL[raw], at) / n, "exclaims": _per_text(raw == 33, at) / n, "capitals": capitals / letters,
+            "symbols": _per_text(_SYMBOL[raw], at) / n, "marked": _per_text(marks[words.end] > marks[words.begin], words.first) / n,
+            "signs": _per_text(_SIGN[raw], at) / np.where(n > 0, np.diff(at), np.nan), "exclaims": _per_text(raw == 33, at) / n, "capitals": capitals / letters,
             "echoes": _per_text(echo, words.first) / n, "runs": np.where(n > 2, runs, np.nan), "lines": lines,
             "word_length": np.where(n > 0, _per_text(words.end - words.begin, words.first) / n, np.nan),
         }
