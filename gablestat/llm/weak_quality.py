@@ -37,6 +37,8 @@ LABELLERS = (
     ("lines", "lines", 0.55, 0.34),
     ("word_length", "word_length", 20.0, 14.0),
 )
+#: Kinds of bad texts, each first guessed from the labellers that look for it; EM then learns its own shares.
+KINDS = (("symbols", "marked"), ("exclaims", "capitals"), ("echoes", "runs"), ("lines",), ("word_length",))
 _BYTES = np.arange(256)
 _SYMBOL = np.isin(_BYTES, np.frombuffer(b"#*$%&|<>", np.uint8))
 _SIGN = ((_BYTES > 32) & (_BYTES < 48)) | ((_BYTES > 57) & (_BYTES < 65)) | ((_BYTES > 90) & (_BYTES < 97)) | ((_BYTES > 122) & (_BYTES < 127))
@@ -103,27 +105,36 @@ def _features(words: Words, data: np.ndarray) -> np.ndarray:
     return (words.hash >> np.uint64(48)).astype(np.int64) % (DIMENSIONS - _SHAPES) + _SHAPES, shape
 
 
-def estimate(counts: dict[int, int], steps: int = 200) -> tuple[np.ndarray, dict[int, float]]:
-    """Vote shares [labeller, class, vote] and the posterior of good for each pattern, by expectation-maximisation."""
+def estimate(counts: dict[int, int], steps: int = 200) -> tuple[np.ndarray, np.ndarray, dict[int, float]]:
+    """Vote shares [labeller, class, vote], class shares, and each pattern's posterior of good, by expectation-maximisation.
+
+    Class 0 is good, the others are the kinds of bad texts: within one class labellers err independently, while
+    over all bad texts those that look for the same kind would not.
+    """
     patterns = np.array(sorted(counts), dtype=np.int64)
+    names = [name for name, *_ in LABELLERS]
     if not len(patterns):
-        return np.zeros((len(LABELLERS), 2, 3)), {}
+        return np.zeros((len(names), 1 + len(KINDS), 3)), np.zeros(1 + len(KINDS)), {}
     weight = np.array([counts[int(p)] for p in patterns], dtype=np.float64)
-    votes = np.stack([patterns // 3 ** (len(LABELLERS) - 1 - j) % 3 for j in range(len(LABELLERS))], axis=1)
-    good = np.clip(0.75 + 0.05 * (votes - 1).sum(axis=1) - 0.6 * (votes == 0).any(axis=1), 0.02, 0.98)
+    votes = np.stack([patterns // 3 ** (len(names) - 1 - j) % 3 for j in range(len(names))], axis=1)
+    found = np.stack([(votes[:, [names.index(x) for x in kind]] == 0).sum(axis=1) for kind in KINDS], axis=1)
+    classes = np.concatenate([np.where((votes == 0).any(axis=1, keepdims=True), 0.05, 0.95), 0.01 + found], axis=1)
+    classes[:, 1:] *= (1 - classes[:, :1]) / classes[:, 1:].sum(axis=1, keepdims=True)
     for _ in range(steps):
-        shares = np.empty((len(LABELLERS), 2, 3))
-        for c, p in enumerate((1 - good, good)):
-            for j in range(len(LABELLERS)):
-                found = np.bincount(votes[:, j], weights=weight * p, minlength=3) + 0.5
-                shares[j, c] = found / found.sum()
-        prior = (weight * good).sum() / weight.sum()
-        log = [np.log(max(x, 1e-9)) + sum(np.log(shares[j, c, votes[:, j]]) for j in range(len(LABELLERS))) for c, x in enumerate((1 - prior, prior))]
-        after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
-        if np.abs(after - good).max() < 1e-9:
+        shares = np.empty((len(names), classes.shape[1], 3))
+        for c in range(classes.shape[1]):
+            for j in range(len(names)):
+                seen = np.bincount(votes[:, j], weights=weight * classes[:, c], minlength=3) + 0.5
+                shares[j, c] = seen / seen.sum()
+        prior = (weight[:, None] * classes).sum(axis=0) / weight.sum()
+        log = np.log(np.maximum(prior, 1e-12)) + sum(np.log(shares[j][:, votes[:, j]]).T for j in range(len(names)))
+        after = np.exp(log - log.max(axis=1, keepdims=True))
+        after /= after.sum(axis=1, keepdims=True)
+        done = np.abs(after - classes).max() < 1e-9
+        classes = after
+        if done:
             break
-        good = after
-    return shares, {int(p): float(g) for p, g in zip(patterns, good)}
+    return shares, prior, {int(p): float(g) for p, g in zip(patterns, classes[:, 0])}
 
 
 def _train(rows: list[tuple[np.ndarray, np.ndarray, float]], steps: int = 300, rate: float = 0.5) -> tuple[np.ndarray, float]:
@@ -153,6 +164,7 @@ class WeakQuality:
     def __init__(self, sample: int = SAMPLE):
         self.sample = sample
         self.shares: np.ndarray | None = None
+        self.prior = np.zeros(1 + len(KINDS))
         self.posteriors: dict[int, float] = {}
         self.weights, self.bias = np.zeros(DIMENSIONS), 0.0
 
@@ -167,7 +179,7 @@ class WeakQuality:
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(found[at])], names=["pattern", "n"])
 
         rows = docs.select(text).mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).collect()
-        self.shares, self.posteriors = estimate({r["pattern"]: r["n"] for r in rows})
+        self.shares, self.prior, self.posteriors = estimate({r["pattern"]: r["n"] for r in rows})
         total, posteriors = sum(r["n"] for r in rows), self.posteriors
         share = F.pmod(F.xxhash64(text, F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
         some = docs.select(text).where(F.col(text).isNotNull() & (share < self.sample / max(total, 1)))
@@ -196,7 +208,8 @@ class WeakQuality:
         """For each labeller how often its vote on a good, and on a bad text is right, where it votes."""
         if self.shares is None:
             return {}
-        return {name: (float(s[1, 2] / (s[1, 2] + s[1, 0])), float(s[0, 0] / (s[0, 0] + s[0, 2]))) for (name, *_), s in zip(LABELLERS, self.shares)}
+        bad = np.einsum("c,jcv->jv", self.prior[1:], self.shares[:, 1:])
+        return {name: (float(g[2] / (g[2] + g[0])), float(b[0] / max(b[0] + b[2], 1e-12))) for (name, *_), g, b in zip(LABELLERS, self.shares[:, 0], bad)}
 
     def transform(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """The rows with ``pattern`` (votes), ``posterior``, ``score`` of the scorer, and ``kept`` (score of 0.5 or more)."""
