@@ -88,7 +88,8 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", b
     alike = members.where("level is not null")
     best = alike.groupBy("level", "name").agg(
         F.min(F.struct((-F.col("size")).alias("size"), F.col("doc_id").isNull().alias("blank"), "doc_id")).alias("best"), F.count("*").alias("group_size"))
-    best = best.select("level", "name", F.col("best.doc_id").alias("keep_id"), (-F.col("best.size")).alias("keep_size"), "group_size")
+    # written, so that the join back is one that adaptive execution can split where one group holds very many rows
+    best = cut_lineage(best.select("level", "name", F.col("best.doc_id").alias("keep_id"), (-F.col("best.size")).alias("keep_size"), "group_size"))
     grouped = alike.join(best, ["level", "name"]).select("doc_id", "size", "keep_id", "keep_size", "group_size", "text_sha256")
     single = members.where("level is null").select(
         "doc_id", "size", F.col("doc_id").alias("keep_id"), F.col("size").alias("keep_size"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
