@@ -54,6 +54,14 @@ def _class_of(hashes: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _sign(hashes: np.ndarray) -> bytes:
+    """A bitmap of the set, of two to four bits for each of its shingles, a power of two."""
+    size = 1 << max(6, int(2 * len(hashes)).bit_length())
+    sign = np.zeros(size, dtype=bool)
+    sign[(mix(hashes) & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(sign).tobytes()
+
+
 def frequency_ranks(docs: DataFrame, text: str = "text", bits: int = ORDER_BITS) -> np.ndarray:
     """Rank of each of ``2 ** bits`` buckets of shingles, 0 where its count is no more than chance explains."""
 
@@ -74,17 +82,18 @@ def frequency_ranks(docs: DataFrame, text: str = "text", bits: int = ORDER_BITS)
 
 
 def first_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bits: int = ORDER_BITS) -> DataFrame:
-    """Per row: ``key n class`` and its first shingles, ``rare`` and ``frequent`` (array of long)."""
+    """Per row: ``key n class sign`` and its first shingles, ``rare`` and ``frequent`` (array of long)."""
     ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, text, bits))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, classes, lists = [], [], ([], [])
+            n, classes, signs, lists = [], [], [], ([], [])
             for _, own in _sets(batch.column(1)):
                 size = len(own)
                 n.append(size)
                 classes.append(_class_of(own) if size else None)
+                signs.append(_sign(own))
                 rank = ranks.value[(own >> np.uint64(64 - bits)).astype(np.int64)]
                 head = np.argsort(rank, kind="stable")[: size - -(-percent * size // 100) + 1 if size else 0]
                 often = rank[head] > 0
@@ -95,9 +104,10 @@ def first_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", per
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), *arrays], names=[key, "n", "class", "rare", "frequent"])
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.int64()), pa.array(signs, pa.binary()), *arrays],
+                names=[key, "n", "class", "sign", "rare", "frequent"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, class long, rare array<long>, frequent array<long>")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n long, class long, sign binary, rare array<long>, frequent array<long>")
 
 
 def _band(n: Column) -> Column:
@@ -120,26 +130,6 @@ def _tiles(firsts: DataFrame) -> DataFrame:
     return cut_lineage(rare.select(*names).unionByName(often.select(*names)))
 
 
-def _with_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """``class n bits sign hashes`` of the documents with the wanted keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for _, own in _sets(batch.column(0)):
-                if len(own):
-                    size = 1 << max(6, int(2 * len(own)).bit_length())
-                    sign = np.zeros(size, dtype=bool)
-                    sign[(mix(own) & np.uint64(size - 1)).astype(np.int64)] = True
-                    rows.append((_class_of(own), len(own), np.packbits(sign).tobytes(), own.tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["class", "n", "sign", "hashes"])
-
-    some = docs.select(key, text).join(wanted, F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
-    return cut_lineage(some.select(text).mapInArrow(run, "class long, n long, sign binary, hashes binary"))
-
-
 def _most_common(a_sign: bytes, b_sign: bytes, a: int, b: int) -> int:
     """No intersection is larger, by the bits that one signature has and the other lacks."""
     x, y = np.frombuffer(a_sign, np.uint8), np.frombuffer(b_sign, np.uint8)
@@ -154,40 +144,57 @@ def _linked(n: int, a: int, b: int, percent: int) -> bool:
     return 100 * n >= percent * (a + b - n)
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a b``) that the bitmap signatures don't rule out."""
-    sign = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
+class _Corpus:
+    """Classes of a corpus with all that is needed to decide whether two of them are linked."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
-            keep = [_linked(_most_common(x, y, p, q), p, q, percent) for p, q, x, y in zip(*columns)]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def __init__(self, docs: DataFrame, firsts: DataFrame, signs: DataFrame, key: str, text: str, percent: int):
+        self.docs, self.firsts, self.signs, self.key, self.text, self.percent = docs, firsts, signs, key, text, percent
 
-    both = pairs.join(sign("a"), "a").join(sign("b"), "b")
-    both = both.where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
-    return both.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long").distinct()
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (``a b``) that size and bitmap signatures don't rule out."""
+        percent = self.percent
+        side = lambda c: self.signs.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"))
 
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                columns = [batch.column(i).to_pylist() for i in range(2, 6)]
+                keep = [_linked(_most_common(x, y, p, q), p, q, percent) for p, q, x, y in zip(*columns)]
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (``a b``) that are links: bitmap bound, then exact intersection."""
-    side = lambda c: sets.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("sign").alias(f"sign_{c}"), F.col("hashes").alias(f"set_{c}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        return cut_lineage(both.select("a", "b", "n_a", "n_b", "sign_a", "sign_b").mapInArrow(run, "a long, b long"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                p, q, x, y, s, t = (batch.column(c)[i].as_py() for c in range(2, 8))
-                if not _linked(_most_common(x, y, p, q), p, q, percent):
-                    keep.append(False)
-                    continue
-                u, v = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-                at = np.minimum(np.searchsorted(v, u), len(v) - 1)
-                keep.append(_linked(int((v[at] == u).sum()), p, q, percent))
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """``class hashes`` of the classes, from the text of one document each."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [(_class_of(own), own.tobytes()) for _, own in _sets(batch.column(0)) if len(own)]
+                columns = list(zip(*found)) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "hashes"])
+
+        wanted = self.firsts.select(self.key, "class").join(classes, "class", "left_semi").groupBy("class").agg(F.min(self.key).alias("_wanted"))
+        some = self.docs.select(self.key, self.text).join(wanted.select("_wanted"), F.col(self.key).eqNullSafe(F.col("_wanted")), "left_semi")
+        return cut_lineage(some.select(self.text).mapInArrow(run, "class long, hashes binary"))
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (``a b``) that are links: bitmap bound, then exact intersection."""
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = []
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    at = np.minimum(np.searchsorted(v, u), len(v) - 1)
+                    keep.append(_linked(int((v[at] == u).sum()), len(u), len(v), percent))
+                yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(n_a, n_b) >= %d * greatest(n_a, n_b)" % percent)
-    return cut_lineage(both.select("a", "b", "n_a", "n_b", "sign_a", "sign_b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
+        likely = self.bounded(pairs)
+        sets = self.sets(likely.select(F.explode(F.array("a", "b")).alias("class")).distinct())
+        side = lambda c: sets.select(F.col("class").alias(c), F.col("hashes").alias(f"set_{c}"))
+        both = likely.join(side("a"), "a").join(side("b"), "b")
+        return cut_lineage(both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct())
 
 
 def _rooted(tiles: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -224,13 +231,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     """Per row: ``key n_shingles class component_id``, the smallest key that links of ``percent`` similarity reach."""
     firsts = cut_lineage(first_shingles(docs, key, text, percent))
     tiles = _tiles(firsts)
-    active = tiles.select("class").distinct()
-    wanted = firsts.join(active, "class", "left_semi").groupBy("class").agg(F.min(key).alias("_wanted")).select("_wanted")
-    sets = _with_sets(docs, wanted, key, text)
+    signs = firsts.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sign").alias("sign"))
+    signs = cut_lineage(signs.join(tiles.select("class").distinct(), "class", "left_semi"))
+    corpus = _Corpus(docs, firsts, signs, key, text, percent)
     links, roots, left = [], None, tiles
     for turn in range(rounds):
         left = _rooted(left, roots)
-        found = _checked(_tries(left, turn), sets, percent)
+        found = corpus.links(_tries(left, turn))
         if found.isEmpty():
             break
         links.append(found)
@@ -239,8 +246,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root", "band"))) for s in "ab")
     across = a.join(b, "token").where(
         f"class_a < class_b and root_a <> root_b and abs(band_a - band_b) <= 1 and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = cut_lineage(across.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct())
-    found = _checked(_bounded(pairs, sets, percent), sets, percent)
+    pairs = across.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    found = corpus.links(pairs)
     if not found.isEmpty() or roots is None:
         roots = cut_lineage(components(_all([*links, found])))
     rows = firsts.select(key, F.col("n").alias("n_shingles"), "class").join(roots.select(F.col("node").alias("class"), "root"), "class", "left")
