@@ -1,0 +1,344 @@
+"""Text operators against brute force, on clean and on awkward rows."""
+
+import base64
+import bisect
+import hashlib
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import public_tokenizers
+import tiktoken
+from gablestat.llm import bpe, packing
+from gablestat.llm.exact_dedup import duplicate_groups
+from gablestat.llm.graph import components
+from gablestat.llm.jaccard_join import near_duplicates
+from gablestat.llm.language_id import LanguageId
+from gablestat.llm.quality_rules import ablations, ledger
+from gablestat.llm.substring_dedup import compact_windows, repeated_passages, without_passages
+from gablestat.llm.toxicity import BlockMaxIndex, ToxicityScorer
+from gablestat.llm.url_filter import UrlFilter
+from gablestat.llm.weak_quality import LABELLERS, WeakQuality, estimate
+from gablestat.llm.words import Words, mix
+
+RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+SCHEMA = "doc_id long, text string, lang string, unit string, level int, score double, n_words int, host string"
+SPACES = r"[\x20\x09-\x0D]"
+
+
+def words_of(n, seed):
+    rng = np.random.default_rng(seed)
+    return ["".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(n)]
+
+
+LONG = " ".join(words_of(9000, 1))
+BASE = words_of(400, 2)
+NEAR = BASE[:200] + ["changed"] + BASE[201:]
+TEXTS = {
+    1: None, 2: "", 3: " \t\n", 4: "one", 5: "One two", 6: " one\ttwo", 7: "a b c d e", 8: "é è  ü — ß 中文", 9: "12 34 !! ??",
+    10: LONG, 11: LONG.replace(" ", "\n"), 12: LONG + " x", 13: " ".join(BASE), 14: " ".join(NEAR), 15: " ".join(BASE[:120] + words_of(300, 3)),
+    16: " ".join(words_of(200, 4) + BASE[300:360]), 17: "x" * 5000, 18: "same line\n" * 40, 19: " ".join(BASE).upper(), 20: "one",
+}
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    data = [(k, t, "en", "u", 1, 0.5, 3, "h") for k, t in TEXTS.items()]
+    data += [(13, TEXTS[13], "en", "u", 1, 0.5, 3, "h"), (None, "one", None, None, None, None, None, None), (None, "no id here", None, None, None, None, None, None)]
+    return spark.createDataFrame(data, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_words_and_shingles_are_those_of_python():
+    texts = [t or "" for t in TEXTS.values()]
+    column = pa.array(texts)
+    _, offsets, data = column.buffers()
+    own = Words(np.frombuffer(data, np.uint8), np.frombuffer(offsets, np.int32)[: len(texts) + 1].astype(np.int64))
+    plain = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) for t in texts]
+    assert np.diff(own.first).tolist() == [len(p) for p in plain]
+    by_hash = defaultdict(set)
+    for h, w in zip(own.hash.tolist(), [w for p in plain for w in p]):
+        by_hash[h].add(w)
+    assert all(len(v) == 1 for v in by_hash.values())
+    assert len(by_hash) == len({w for p in plain for w in p})
+    _, first = own.shingles()
+    assert np.diff(first).tolist() == [max(len(p) - 4, min(len(p), 1)) for p in plain]
+
+
+def test_ledger_measures_awkward_rows(rows, empty):
+    got = {r.doc_id: r for r in ledger(rows).collect() if r.doc_id is not None}
+    assert got[1].n_words == got[2].n_words == got[3].n_words == 0
+    assert got[10].n_words == 9000 and got[10].failed_bits == 0
+    assert got[18].n_dup_lines == 39 and got[18].n_repeat_words == 80
+    assert got[9].n_exclaims == 2 and got[17].failed_bits & 1
+    assert {"lang", "unit", "host"} <= set(ledger(rows).columns)
+    assert ledger(empty).count() == 0
+    assert {r.rule: r.failed for r in ablations(ledger(empty), "full-1").collect()}["shouting"] == 0
+
+
+def test_ablations_count_what_each_rule_decides(rows):
+    stored = ledger(rows)
+    bits = [r.failed_bits for r in stored.collect()]
+    for r in ablations(stored, "base-1").collect():
+        bit = {"too_few_words": 1, "repeated_words": 2}[r.rule]
+        assert r.failed == sum(bool(b & bit) for b in bits)
+        assert r.only_this == sum(b & 3 == bit for b in bits)
+        assert r.kept_without == sum(not b & 3 & ~bit for b in bits)
+
+
+@pytest.mark.parametrize("block", [7, 64, 4096])
+def test_block_names_find_equal_texts(rows, empty, block):
+    got = duplicate_groups(rows, block=block).collect()
+    source = [(r.doc_id, r.text or "") for r in rows.collect()]
+    groups = defaultdict(list)
+    for k, t in source:
+        groups[re.sub(SPACES, "", t)].append((-len(t), k is None, k))
+    assert len(got) == len(source)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): sorted(v, key=lambda x: (x[0], x[1], x[2] or 0)) for t, v in groups.items()}
+    for r in got:
+        group = by_sha[r.text_sha256]
+        assert (r.keep_id, r.group_size) == (group[0][2], len(group))
+    assert {r.doc_id for r in got if r.kept and r.doc_id is not None} == {v[0][2] for v in by_sha.values()} - {None}
+    assert duplicate_groups(empty).count() == 0
+
+
+def test_ids_are_those_of_the_library(rows, empty):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    got = bpe.decode(bpe.encode(rows, RANKS, PATTERN, segment=1000), RANKS, PATTERN).collect()
+    want = sorted((str(r.doc_id), library.encode_ordinary(r.text or "")) for r in rows.collect())
+    assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
+    assert sorted((str(r.doc_id), r.decoded.decode()) for r in got) == sorted((str(r.doc_id), r.text or "") for r in rows.collect())
+    assert bpe.encode(empty, RANKS, PATTERN).count() == 0
+
+
+def test_halving_anywhere_gives_the_same_ids(monkeypatch):
+    own = bpe.Encoder(RANKS, PATTERN)
+    rng = np.random.default_rng(5)
+    signs = list("ab1 \n\t's!  , 　字é")
+    texts = ["".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(3000)]
+    for leaf in (1, 7):
+        monkeypatch.setattr(bpe, "LEAF", leaf)
+        for t in texts:
+            assert np.frombuffer(own.encode(t), "<u4").tolist() == own.coding.encode_ordinary(t)
+    special = bpe.Encoder(RANKS, PATTERN, (("<|endoftext|>", 50256),))
+    texts = [t + "<|endoftext|>" * (i % 5 == 0) + t[::-1] for i, t in enumerate(texts)]
+    for row, flat, offs in bpe.bulk(pa.array(texts), special):
+        for i in range(len(offs) - 1):
+            assert flat[offs[i] : offs[i + 1]].tolist() == special.whole(texts[row + i])
+
+
+@pytest.mark.parametrize("how", [{}, {"by": "dot"}, {"weights": (1.0, 0.5, 0.5)}, {"documents": 3}, {"attention": 50_000}])
+def test_plan_packs_everything_within_all_capacities(how):
+    rng = np.random.default_rng(3)
+    counts = {int(k): int(n) for k, n in zip(range(1, 201, 3), rng.integers(1, 900, 67))}
+    kinds = packing.plan(counts, 256, **how)
+    packed = defaultdict(int)
+    for n, runs in kinds:
+        assert sum(a * b for a, b in runs) <= 256 and sum(b for _, b in runs) <= how.get("documents", 256)
+        assert sum(a * a * b for a, b in runs) <= how.get("attention", 256 * 256)
+        for a, b in runs:
+            packed[a] += n * b
+    assert dict(packed) == counts
+    if not how:
+        left = []  # best-fit decreasing, one piece after another
+        for a in sorted((a for a, n in counts.items() for _ in range(n)), reverse=True):
+            at = bisect.bisect_left(left, a)
+            bisect.insort(left, (left.pop(at) if at < len(left) else 256) - a)
+        assert sum(n for n, _ in kinds) <= len(left)
+
+
+def test_pieces_and_places(rows, empty):
+    cut = packing.pieces(rows, RANKS, PATTERN, with_ids=True)
+    got = packing.pack(cut).collect()
+    by_sequence, by_doc = defaultdict(list), defaultdict(list)
+    for r in got:
+        assert r.length == len(r.ids) <= 2048 and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        by_sequence[r.sequence_id].append((r.offset, r.length))
+        by_doc[r.doc_id].append(r)
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    own = bpe.Encoder(RANKS, PATTERN)
+    for k, t in TEXTS.items():
+        if k != 13:
+            parts = sorted(by_doc[k], key=lambda r: r.piece)
+            assert [x for r in parts for x in r.ids] == own.coding.encode_ordinary(t or "") + [0]
+            assert all(r.length == 2048 for r in parts[1:])
+    assert packing.pack(packing.pieces(empty, RANKS, PATTERN)).count() == 0
+
+
+def brute_components(source, percent=80):
+    sets = []
+    for k, t in source:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(source)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(source):
+        r = find(i)
+        least[r] = k if least.get(r) is None else least[r] if k is None else min(k, least[r])
+    return sorted((str(k), len(s), str(least[find(i)])) for i, ((k, _), s) in enumerate(zip(source, sets)))
+
+
+def test_jaccard_components_are_those_of_all_pairs(rows, empty):
+    got = near_duplicates(rows).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components([(r.doc_id, r.text) for r in rows.collect()])
+    assert near_duplicates(empty).count() == 0
+
+
+def test_jaccard_finds_chains_near_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    source = []
+    for g in range(6):
+        words = words_of(int(rng.integers(8, 160)), 100 + g)
+        for i in range(25):
+            source.append((1000 * g + i, " ".join(words)))
+            for at in rng.integers(0, len(words), 1 + len(words) // 60):
+                words[at] = "".join(chr(97 + c) for c in rng.integers(0, 26, 6))
+    docs = spark.createDataFrame(source, "doc_id long, text string")
+    got = near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(source)
+
+
+def test_components_of_chains_and_stars(spark):
+    links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_compact_windows_are_those_of_every_run():
+    rng = np.random.default_rng(4)
+    hashes = mix(rng.integers(0, 40, 120).astype(np.uint64) * np.uint64(7919) + np.arange(120, dtype=np.uint64) // np.uint64(60))
+    bounds, width = np.array([0, 50, 53, 120]), 9
+    text, own, first, centre, last = compact_windows(hashes, bounds, width, 1)
+    for a, b in zip(bounds[:-1], bounds[1:]):
+        for i in range(a, b - width + 1):
+            inside = [(own[w], centre[w]) for w in range(len(own)) if first[w] <= i and i + width - 1 <= last[w] and i <= centre[w] < i + width]
+            assert len(inside) == 1 and bounds[text[[w for w in range(len(own)) if centre[w] == inside[0][1]][0]]] == a
+
+
+def test_repeated_passages_and_cuts(rows, empty):
+    got = [(r.doc_id, r.source_id, r.start, r.stop) for r in repeated_passages(rows).collect()]
+    spans = defaultdict(set)
+    for d, s, a, b in got:
+        assert s < d
+        spans[d].update(range(a, b))
+    assert spans[11] >= set(range(9000)) and spans[12] >= set(range(9000))
+    assert spans[15] == set(range(120)) and spans[16] == set(range(200, 260))
+    assert not {1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 13, 17, 18} & set(spans)
+    left = {r.doc_id: r.text for r in without_passages(rows, repeated_passages(rows)).collect() if r.doc_id}
+    assert left[16].split() == TEXTS[16].split()[:200] and left[15].split() == TEXTS[15].split()[120:]
+    assert left[10] == LONG and left[1] is None
+    assert repeated_passages(empty).count() == 0 and without_passages(empty, repeated_passages(empty)).count() == 0
+
+
+def test_urls_follow_the_longest_rule(spark):
+    rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
+    urls = [None, "", "nothing", "http://Example.COM/en/x?q=1", "https://www.example.com/en/", "http://a.net/es/1", "http://a.net/fr/1#x", "http://com", "http://badexample.com/en/", "ftp://x.org?u=://y/z"] * 2
+    pages = spark.createDataFrame([(i, u, "v") for i, u in enumerate(urls)], "page_id int, url string, verdict string")
+    got = {r.page_id: r for r in UrlFilter(rules, rounds=2).fit(pages).transform(pages).collect()}
+    assert [got[i].rule for i in range(10)] == [None, None, None, "example.com/en/", "www.example.com/en/", "net/es/", None, None, "com/", None]
+    assert [(got[i].host, got[i].path) for i in (0, 2, 3, 7, 9)] == [("", ""), ("", ""), ("example.com", "/en/x"), ("com", ""), ("x.org", "")]
+    assert [got[i].verdict for i in (3, 4, 5, 8)] == ["block", "allow", "block", "allow"]
+    assert {r.verdict for r in got.values()} <= {"allow", "block"}
+    none = pages.where("false")
+    assert UrlFilter(rules).fit(none).transform(pages).where("verdict = 'block' and rule is null").count() == 0
+    assert UrlFilter(rules).fit(pages).transform(none).count() == 0
+
+
+def test_languages_are_told_apart(spark, empty):
+    words = {"aa": words_of(60, 20), "bb": [w.replace("a", "é") + "ß" for w in words_of(60, 21)]}
+    rng = np.random.default_rng(6)
+    data = [(i, " ".join(rng.choice(words[k], 40)), k) for i, k in enumerate(["aa", "bb"] * 60)]
+    data += [(900, None, None), (901, "12 !", None), (902, "", "aa"), (903, "x", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = LanguageId().fit(docs.where("doc_id < 60 or doc_id = 902"))
+    got = {r.doc_id: r for r in model.transform(docs).collect()}
+    assert all(got[i].lang_pred == k for i, _, k in data[:120])
+    assert [got[i].lang_pred for i in (900, 901, 902)] == ["und"] * 3 and got[903].lang_pred in ("aa", "bb")
+    assert all(0 <= r.score <= 1 for r in got.values())
+    none = LanguageId().fit(empty)
+    assert {r.lang_pred for r in none.transform(docs).collect()} == {"und"} and none.transform(empty).count() == 0
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(700):
+        at = np.unique(rng.integers(0, 40, rng.integers(1, 9)))
+        x = rng.random(len(at)) + 0.1
+        rows.append((at, x / np.sqrt((x * x).sum())))
+    dense = np.zeros((700, 40))
+    for i, (at, x) in enumerate(rows):
+        dense[i, at] = x
+    index = BlockMaxIndex(rows, 40, block=16)
+    for i in range(0, 700, 13):
+        ids, sims = index.nearest(*rows[i], 10, without=i)
+        want = dense @ dense[i]
+        want[i] = -1
+        best = np.lexsort((np.arange(700), -want.round(12)))[:10]
+        assert np.allclose(sims, want[best]) and np.allclose(want[ids], sims)
+
+
+def test_toxic_words_are_found(spark, empty):
+    rng = np.random.default_rng(9)
+    bad, plain = ["idiot", "moron", "scum"], words_of(300, 30)
+    data, labels = [], []
+    for i in range(300):
+        text = list(rng.choice(plain, 60))
+        if i % 5 == 0:
+            text[10:12] = [rng.choice(bad).upper() + ",", rng.choice(bad)]
+        data.append((i, " ".join(text)))
+        labels.append((i, int(i % 5 == 0)))
+    data += [(900, None), (901, "")]
+    docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("evidence", F.lit("clash"))
+    marks = spark.createDataFrame(labels + [(5, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    model = ToxicityScorer().fit(docs.where("doc_id < 200"), marks.where("doc_id < 200"))
+    got = {r.doc_id: r for r in model.transform(docs).collect()}
+    assert all((got[i].score >= 0.3) == (i % 5 == 0) for i in range(300))
+    assert got[900].score == got[901].score < 0.3 and got[0].evidence[0].label == 1
+    none = ToxicityScorer().fit(docs, marks.where("false"))
+    assert {r.score for r in none.transform(docs).collect()} == {0.0} and model.transform(docs.where("false")).count() == 0
+
+
+def test_weak_labels_part_good_from_bad(spark, empty):
+    rng = np.random.default_rng(10)
+    plain = words_of(500, 40)
+    data = [(i, " ".join(rng.choice(plain, 80)).capitalize() + ".") for i in range(200)]
+    data += [(1000 + i, " ".join(w + "%%%" for w in rng.choice(plain, 80))) for i in range(30)]
+    data += [(2000 + i, " ".join(w.upper() + "!!" for w in rng.choice(plain, 80))) for i in range(30)]
+    data += [(3000 + i, " ".join([plain[i]] * 60)) for i in range(30)]
+    data += [(9000, None), (9001, ""), (9002, "\n")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    model = WeakQuality().fit(docs)
+    got = {r.doc_id: r for r in model.transform(docs).collect()}
+    assert sum(got[i].kept for i in range(200)) >= 198
+    assert not any(got[i].kept for i, _ in data if 1000 <= i < 9000)
+    assert set(model.accuracies()) == {name for name, *_ in LABELLERS}
+    assert WeakQuality().fit(empty.select("text")).transform(empty).count() == 0
+    assert estimate({})[2] == {}
