@@ -80,22 +80,22 @@ def _density_sql(x: str, points: int, where: str) -> str:
 
 @register(
     "v3_log_value_density",
-    _density_sql("log10(total_value)", 128, f"fiscal_year IN ({OLD}, {NEW})"),
+    _density_sql("log10(total_value)", 512, f"fiscal_year IN ({OLD}, {NEW})"),
 )
 def v3(spark, folder):
     rows = assessments(spark, folder, ["fiscal_year", "total_value"], (OLD, NEW))
     rows = rows.select("fiscal_year", C.log10_pos("total_value").alias("x"))
-    return _rounded(D.density(rows, "x", ["fiscal_year"], points=128), x=9, density=9)
+    return _rounded(D.density(rows, "x", ["fiscal_year"], points=512), x=9, density=9)
 
 
 @register(
     "v3_tax_ratio_density",
-    _density_sql("gross_tax / total_value * 100", 64, f"fiscal_year IN ({OLD}, {NEW}) AND gross_tax / total_value * 100 < 5"),
+    _density_sql("gross_tax / total_value * 100", 512, f"fiscal_year IN ({OLD}, {NEW}) AND gross_tax / total_value * 100 < 5"),
 )
 def v3_ratio(spark, folder):
     rows = assessments(spark, folder, ["fiscal_year", "total_value", "gross_tax"], (OLD, NEW))
     rows = rows.select("fiscal_year", C.ratio_pct("gross_tax", "total_value").alias("x")).filter("x < 5")
-    return _rounded(D.density(rows, "x", ["fiscal_year"], points=64), x=9, density=9)
+    return _rounded(D.density(rows, "x", ["fiscal_year"], points=512), x=9, density=9)
 
 
 _COND = (

@@ -142,7 +142,7 @@ def m9(spark, folder):
 @register("m12_importances")
 def m12(spark, folder):
     train, _, names = _prepared(spark, folder)
-    return M.importances(M.fit_tree(train, "total_value", depth=6), names, spark, top=15)
+    return M.importances(M.fit_tree(train, "total_value"), names, spark, top=15)
 
 
 # Predictions both engines can make: the mean value of records with the same key.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,17 @@ def build_session(app_name: str = "gablestat", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the workers, whose functions import it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    if os.path.isdir(package):
+        base = os.path.join(tempfile.mkdtemp(prefix="gablestat-package-"), "gablestat")
+        spark.sparkContext.addPyFile(shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package)))
 
 
 def shared_dir(spark: SparkSession) -> str:
