@@ -192,7 +192,14 @@ def residuals(
     ref: Mapping[str, str] | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
-    """``(keep..., actual, fitted, residual)`` for rows with every model variable."""
+    """``(keep..., actual, fitted, residual)`` for rows with every model variable.
+
+    ``ref`` names the reference level of every categorical variable, as the coefficients don't. A level that the model
+    has not seen gives null.
+    """
+    ref = dict(ref or {})
+    if unnamed := [c for c in categorical if c not in ref]:
+        raise ValueError(f"name the reference levels of {unnamed}: without them an unseen level can't be told from the reference")
     pairs = F.map_from_entries(F.collect_list(F.struct("term", F.coalesce("estimate", F.lit(0.0)))))
     columns = list(dict.fromkeys([*keep, y, *numeric, *categorical]))
     rows = df.dropna(subset=[y, *numeric, *categorical]).select(*columns)
@@ -204,7 +211,7 @@ def residuals(
     for c in categorical:
         own = F.try_element_at(b, F.concat(F.lit(c), F.col(c)))
         # The reference level has no term of its own, an unseen level no fitted value.
-        fitted = fitted + (F.when(F.col(c) == (ref or {})[c], 0.0).otherwise(own) if c in (ref or {}) else F.coalesce(own, F.lit(0.0)))
+        fitted = fitted + F.when(F.col(c) == ref[c], 0.0).otherwise(own)
     out = rows.select(*keep, F.col(y).cast("double").alias("actual"), fitted.alias("fitted"))
     return out.withColumn("residual", F.col("actual") - F.col("fitted"))
 

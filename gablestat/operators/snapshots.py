@@ -33,6 +33,7 @@ def matched_count(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def keep_matched(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is listed; ``keys`` may repeat keys, so the other snapshot itself will do."""
     listed = keys.select(F.col(key).alias("__key"))
     return df.join(listed, F.col(key) == F.col("__key"), "left_semi")
 

@@ -45,11 +45,11 @@ POSITIVE = ("total_value", "gross_tax", "living_area", "land_sf")
 
 
 def clean_for_comparison(
-    df: DataFrame, as_of_year: int, period: str = "fiscal_year", bounded_groups: bool = True
+    df: DataFrame, as_of_year: int, period: str = "fiscal_year", bounded_groups: bool | None = None
 ) -> DataFrame:
     """Valid rows inside each snapshot's own value fences, with ratios and clean labels.
 
-    ``bounded_groups`` states that ``period`` has few values, as years do.
+    Unless ``bounded_groups`` says it, the periods are counted to see whether their fences may be broadcast.
     """
     rows = valid_records(parse_roll(df), as_of_year, POSITIVE)
     rows = iqr_filter(rows, "total_value", by=[period], bounded_groups=bounded_groups)

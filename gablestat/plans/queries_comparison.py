@@ -58,7 +58,7 @@ def j1_panel(spark, folder):
 def j2(spark, folder):
     old = _snapshot(spark, folder, OLD, ["pid", "total_value"])
     new = _snapshot(spark, folder, NEW, ["pid"])
-    return snapshots.keep_matched(old, snapshots.matched_keys(old, new, "pid"), "pid")
+    return snapshots.keep_matched(old, new, "pid")
 
 
 @register(

@@ -146,7 +146,7 @@ def _median_premium(step, lo, hi):
     def run(spark, folder):
         rows = assessments(spark, folder, ["fiscal_year", step, "total_value"])
         # Years and steps within [lo, hi] bound the number of groups.
-        out = groups.premium(rows, ["fiscal_year"], step, lo, hi, "total_value", agg="median", bounded_groups=True)
+        out = groups.premium(rows, ["fiscal_year"], step, lo, hi, "total_value", agg="median")
         return out.withColumn("median_value", F.round("median_value", 6))
 
     return run

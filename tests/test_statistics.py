@@ -24,6 +24,32 @@ def test_distribution_functions():
     assert P.studentized_range_sf(3.0, 2, 12.0) == pytest.approx(2 * P.t_sf(3.0 / math.sqrt(2), 12), abs=1e-7)
 
 
+@pytest.mark.parametrize("df", [1e6, 1e7, 1e8, 1e9, 1e10, 1e11, 1e12])
+@pytest.mark.parametrize("t", [0.01, 0.5, 1.0, 1.959963985, 5.0, 12.0])
+def test_tails_of_many_rows_meet_their_limits(t, df):
+    # the first term of the expansion by 1 / df, with the normal tail and density
+    normal, density = 0.5 * math.erfc(t / math.sqrt(2)), math.exp(-t * t / 2) / math.sqrt(2 * math.pi)
+    assert P.t_sf(t, df) == pytest.approx(normal + density * (t**3 + t) / (4 * df), rel=1e-7)
+    # F with 2 and df degrees of freedom has a closed form
+    assert P.f_sf(t, 2.0, df) == pytest.approx(math.exp(-df / 2 * math.log1p(2 * t / df)), rel=1e-7)
+    assert P.f_sf(t * t, 1.0, df) == pytest.approx(2 * P.t_sf(t, df), rel=1e-9)
+
+
+def test_both_forms_of_the_tail_agree_where_they_meet():
+    for b in (0.5, 1.5, 4.0, 60.0):
+        below, above = (P.beta_cdf(1 / (1 + 1.1 * b / a), a, b, 1.1 * b / a / (1 + 1.1 * b / a)) for a in (0.999999e8, 1e8))
+        assert below == pytest.approx(above, rel=1e-6)
+
+
+def test_residuals_ask_for_reference_levels(spark):
+    rows = spark.createDataFrame([("a", 1.0, 2.0), ("a", 2.0, 3.0), ("b", 1.0, 5.0), ("b", 2.0, 6.5), ("a", 4.0, 5.5)], "kind string, x double, y double")
+    model = R.ols(rows, "y", ["x"], ["kind"])
+    with pytest.raises(ValueError):
+        R.residuals(rows, model, "y", ["x"], ["kind"])
+    unseen = spark.createDataFrame([("zz", 1.0, 2.0)], "kind string, x double, y double")
+    assert R.residuals(unseen, model, "y", ["x"], ["kind"], {"kind": "a"}).first().fitted is None
+
+
 @pytest.fixture(scope="module")
 def samples(spark):
     rng = np.random.default_rng(4)
