@@ -73,6 +73,13 @@ def _columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
     }
 
 
+#: All columns of the view.
+EVERY = [
+    "pid", "record_id", "fiscal_year", "city", "zip_code", "bldg_type", "lu_desc", "yr_built", "bed_rms", "full_bth", "hlf_bth", "num_parking",
+    "fireplaces", "own_occ", "overall_cond", "total_value", "land_value", "bldg_value", "living_area", "gross_area", "land_sf", "gross_tax",
+]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -190,6 +190,14 @@ def e13(spark, folder):
     return codes.inverse(coded)
 
 
+@register(
+    "e12_nominal_encode_many_levels",
+    over_view("SELECT record_id, dense_rank() OVER (ORDER BY record_id) - 1 AS record_id_code FROM a"),
+)
+def e12_many(spark, folder):
+    return encoding.nominal_encode(assessments(spark, folder, ["record_id"]), ["record_id"])
+
+
 @register("e14_price_per_sqft", over_view(
     # Half up on the decimal digits of the quotient, as Spark rounds a double.
     "SELECT pid, total_value, CAST(round(CAST(CAST(total_value / living_area AS VARCHAR) AS DECIMAL(38, 20)), 2) AS DOUBLE) "

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gablestat.functions import columns as C
 from gablestat.operators import groups, profile
 from gablestat.operators.quantiles import medians
-from gablestat.plans.binding import assessments
+from gablestat.plans.binding import EVERY, assessments
 from gablestat.plans.catalog import over_view, register
 
 NUMBERS = ["total_value", "land_value", "bldg_value", "gross_tax", "land_sf", "living_area", "bed_rms", "full_bth", "yr_built"]
@@ -68,17 +68,16 @@ def a10(spark, folder):
     return _rounded(medians(rows, cols), {c: 6 for c in cols})
 
 
-_GAPPY = ["pid", "bed_rms", "city", "land_ratio", "unit"]
+_GAPPY = [*EVERY, "land_ratio", "unit"]
 _GAPPY_SQL = """g AS (
-  SELECT pid, bed_rms, city, gross_tax / nullif(land_value, 0) AS land_ratio,
+  SELECT *, gross_tax / nullif(land_value, 0) AS land_ratio,
          CASE WHEN num_parking < 6 THEN 'P' END AS unit FROM a
 )"""
 
 
 def _gappy(spark, folder):
-    rows = assessments(spark, folder, ["pid", "bed_rms", "city", "gross_tax", "land_value", "num_parking"])
-    return rows.select(
-        "pid", "bed_rms", "city", F.try_divide("gross_tax", "land_value").alias("land_ratio"),
+    return assessments(spark, folder, EVERY).select(
+        "*", F.try_divide("gross_tax", "land_value").alias("land_ratio"),
         F.when(F.col("num_parking") < 6, "P").alias("unit"),
     )
 
@@ -125,6 +124,17 @@ def a16_digest(spark, folder):
     return profile.duplicate_count(assessments(spark, folder, _DUP_COLS), digest=True)
 
 
+@register(
+    "a16_duplicate_whole_rows",
+    over_view(
+        "SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) AS distinct_rows, CAST(sum(n) - count(*) AS BIGINT) AS duplicate_rows "
+        f"FROM (SELECT count(*) AS n FROM a GROUP BY {', '.join(EVERY)})"
+    ),
+)
+def a16_whole(spark, folder):
+    return profile.duplicate_count(assessments(spark, folder, EVERY), digest=True)
+
+
 _SKEWED = ["total_value", "land_value", "gross_tax", "tax_squared", "bed_rms"]
 _SKEWED_SQL = "k AS (SELECT total_value, land_value, gross_tax, gross_tax * gross_tax AS tax_squared, bed_rms FROM a)"
 _FENCE = (
@@ -177,6 +187,11 @@ def u3(spark, folder):
     return assessments(spark, folder, _DUP_COLS).dropDuplicates()
 
 
+@register("u3_distinct_whole_rows", over_view("SELECT DISTINCT * FROM a"))
+def u3_whole(spark, folder):
+    return assessments(spark, folder, EVERY).dropDuplicates()
+
+
 @register(
     "u5_unpivot",
     over_view("SELECT \"column\", value FROM (SELECT CAST(min(total_value) AS DOUBLE) AS low, CAST(max(total_value) AS DOUBLE) AS high, "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gablestat.plans.binding import NEW, OLD, assessments, dirty_assessments, exact_sum
+from gablestat.plans.binding import EVERY, NEW, OLD, assessments, dirty_assessments, exact_sum
 from gablestat.plans.catalog import over_view, register
 from gablestat.plans.cleaning import parse_roll
 from gablestat.operators.snapshots import stack_snapshots, with_snapshot
@@ -73,9 +73,9 @@ def s5(spark, folder):
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("s6_shape", over_view("SELECT count(*) AS n_rows, 4 AS n_columns FROM a"))
+@register("s6_shape", over_view(f"SELECT count(*) AS n_rows, {len(EVERY)} AS n_columns FROM a"))
 def s6(spark, folder):
-    return S.shape(assessments(spark, folder, ["pid", "city", "total_value", "gross_tax"]))
+    return S.shape(assessments(spark, folder, EVERY))
 
 
 @register("s7_preview", over_view("SELECT total_value, land_sf, gross_tax FROM a ORDER BY total_value DESC, pid LIMIT 3"))

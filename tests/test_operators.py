@@ -200,10 +200,18 @@ def test_grid_and_pairs(homes):
     assert D.pair_counts(homes, "bed_rms", "city").agg(F.sum("n")).first()[0] == 2000
 
 
-@pytest.mark.parametrize("limit", [65536, 2])
-def test_nominal_codes_both_ways(spark, limit):
+def test_nominal_codes_count_on_across_partitions(spark):
+    df = spark.range(5000).selectExpr("concat('k', lpad(id, 5, '0')) as t", "concat('m', lpad(id % 700, 5, '0')) as u", "id")
+    levels = df.select("t", "u").unpivot([], ["t", "u"], "column", "level").distinct().repartition(7)
+    counted = encoding._numbered(levels).groupBy("column").agg(F.min("at"), F.max("at"), F.countDistinct("at"), F.count("at"))
+    assert sorted(tuple(r) for r in counted.collect()) == [("t", 0, 4999, 5000, 5000), ("u", 0, 699, 700, 700)]
+    out = encoding.nominal_encode(df, ["t", "u"])
+    assert out.where("t_code <> id or u_code <> id % 700").count() == 0 and out.count() == 5000
+
+
+def test_nominal_codes_both_ways(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), (None,), ("a",)], "t string")
-    codes = encoding.NominalCodes(df, ["t"], base=1, in_memory=limit)
+    codes = encoding.NominalCodes(df, ["t"], base=1)
     out = codes.inverse(codes.transform(df))
     assert sorted(((r.t, r.t_code, r.t_label) for r in out.collect()), key=str) == sorted(
         [("b", 2, "b"), ("a", 1, "a"), ("c", 3, "c"), (None, None, None), ("a", 1, "a")], key=str
