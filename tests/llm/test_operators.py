@@ -20,7 +20,7 @@ from gablestat.llm.graph import components
 from gablestat.llm.jaccard_join import near_duplicates
 from gablestat.llm.language_id import LanguageId
 from gablestat.llm.quality_rules import ablations, ledger
-from gablestat.llm.substring_dedup import compact_windows, repeated_passages, without_passages
+from gablestat.llm.substring_dedup import compact_windows, passages, repeated_passages, without_passages
 from gablestat.llm.toxicity import BlockMaxIndex, ToxicityScorer
 from gablestat.llm.url_filter import UrlFilter
 from gablestat.llm.weak_quality import LABELLERS, WeakQuality, estimate
@@ -257,6 +257,18 @@ def test_repeated_passages_and_cuts(rows, empty):
     assert repeated_passages(empty).count() == 0 and without_passages(empty, repeated_passages(empty)).count() == 0
 
 
+def test_passages_lie_in_one_run_of_the_other_text():
+    a, b, own = (mix(np.arange(i, i + 100, dtype=np.uint64)) for i in (1000, 2000, 3000))
+    x = np.concatenate([own[:50], a[:23], own[50:54], b[:23], own[54:]])
+    for gap in (30, 60, 500):
+        y = np.concatenate([a[:23], mix(np.arange(5000, 5000 + gap, dtype=np.uint64)), b[:23]])
+        assert passages(x, y, [-50, gap + 23 - 77], 46) == []
+    for gap, found in ((4, True), (5, True), (20, False)):  # at most one word put in between
+        y = np.concatenate([a[:23], mix(np.arange(5000, 5000 + gap, dtype=np.uint64)), b[:23]])
+        assert bool(passages(x, y, [-50, gap + 23 - 77], 46)) == found
+    assert passages(a[:80], np.concatenate([own, a[10:90]]), [90], 46) == [(10, 80)]
+
+
 def test_urls_follow_the_longest_rule(spark):
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
     urls = [None, "", "nothing", "http://Example.COM/en/x?q=1", "https://www.example.com/en/", "http://a.net/es/1", "http://a.net/fr/1#x", "http://com", "http://badexample.com/en/", "ftp://x.org?u=://y/z"] * 2
