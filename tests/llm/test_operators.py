@@ -269,6 +269,16 @@ def test_passages_lie_in_one_run_of_the_other_text():
     assert passages(a[:80], np.concatenate([own, a[10:90]]), [90], 46) == [(10, 80)]
 
 
+def test_frequent_lines_hide_no_passage(spark):
+    a, b = words_of(27, 50), words_of(27, 51)
+    data = [(i, " ".join(words_of(60, 1000 + i) + (a if i % 2 else b) + words_of(60, 2000 + i))) for i in range(60)]
+    data += [(i, " ".join(words_of(60, 1000 + i) + a + b + words_of(60, 2000 + i))) for i in (100, 101, 102)]
+    # a confirmed passage of the same two documents, one that only the first of them has elsewhere, too
+    data += [(i, " ".join(words_of(70, 52) + words_of(60, 1000 + i) + b + a + words_of(60, 2000 + i))) for i in (200, 201)]
+    got = {(r.doc_id, r.source_id, r.start, r.stop) for r in repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {(101, 100, 60, 114), (102, 100, 60, 114), (201, 200, 0, 70), (201, 200, 130, 184)}
+
+
 def test_urls_follow_the_longest_rule(spark):
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
     urls = [None, "", "nothing", "http://Example.COM/en/x?q=1", "https://www.example.com/en/", "http://a.net/es/1", "http://a.net/fr/1#x", "http://com", "http://badexample.com/en/", "ftp://x.org?u=://y/z"] * 2
