@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablestat.llm.exact_dedup import duplicate_groups
+from gablestat.llm.exact_dedup import duplicate_groups, normalized
 from gablestat.llm.jaccard_join import near_duplicates
 from gablestat.llm.packing import pack, pieces
 from gablestat.llm.quality_rules import fails, ledger
@@ -23,20 +23,34 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original, then the smallest doc_id; rows that repeat count once."""
-    dropped = duplicate_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Of equal texts the longest original, then the smallest doc_id; rows that repeat count once, rows that only share a doc_id are told apart by their texts."""
+    groups = duplicate_groups(docs).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
+    some = cut_lineage(groups.where("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
+    named = docs.withColumn("_text", F.sha2(normalized(F.col("text")), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
+    rest = named.join(some, same, "left_anti").drop("_text")
+    # of a row that repeats the longest text stays; map-side, so that very many repeats are no hot task
+    row = F.struct(F.length("text").alias("_size"), *docs.columns)
+    once = named.join(some.where("kept"), same, "left_semi").groupBy("doc_id", "_text").agg(F.max(row).alias("_row")).select(*(F.col(f"_row.{c}") for c in docs.columns))
+    return rest.unionByName(once)
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """The documents with ``_row``, a number of their own in the order of doc_id, since an id may be null or shared."""
+    return cut_lineage(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("_row", F.monotonically_increasing_id()))
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    rows = _rows(docs)
+    gone = near_duplicates(rows, key="_row").where("_row <> component_id").select(F.col("_row").alias("_gone"))
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has too are cut; documents stay, with ``n_chars`` of what is left."""
-    left = without_passages(docs, repeated_passages(docs))
+    rows = _rows(docs)
+    left = without_passages(rows, repeated_passages(rows, key="_row"), key="_row").drop("_row")
     return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 

@@ -25,3 +25,15 @@ def test_stages_take_blank_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:-1]:
         assert stage(spark, some, FOLDER).count() == 3
     assert corpus_pipeline.STAGES[0][1](spark, some, FOLDER).count() == 0
+
+
+def test_repeated_rows_stay_once_and_shared_ids_keep_their_own_text(spark):
+    words = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, words(1, 80)), (1, words(1, 80)), (1, words(1, 80)), (2, words(2, 80)), (5, words(2, 80)), (5, words(5, 80)), (6, words(1, 80).replace("w1x79", "other")),
+            (6, words(6, 80)), (None, words(7, 80)), (None, words(7, 80)), (None, words(2, 80)), (8, words(2, 60) + " " + words(8, 20)), (8, words(9, 80))]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, FOLDER))
+    left = {(r.doc_id, r.text.strip()) for r in docs.collect()}
+    assert docs.count() == len(left)
+    assert left == {(1, words(1, 80)), (2, words(2, 80)), (5, words(5, 80)), (6, words(6, 80)), (None, words(7, 80)), (8, words(8, 20)), (8, words(9, 80))}
