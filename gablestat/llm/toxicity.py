@@ -4,7 +4,8 @@ A text is the TF-IDF vector of the words that labelled examples tie to toxicity,
 are found exactly in an inverted index whose postings lie in blocks of examples: for every word and block the index knows the
 largest weight, so the sum over a text's words bounds the cosine of a whole block from above, and blocks that can't reach the
 nearest found so far are not looked into. Neighbours vote, each by a power of its cosine; votes are calibrated to shares of
-toxic texts by isotonic regression over the labelled texts, each judged without itself. The nearest examples are the evidence.
+toxic texts by isotonic regression over the labelled texts, each judged without itself. A label's examples count for all
+rows of that label, so shares are those of the whole labelled table at every size. The nearest examples are the evidence.
 
 Bounds: at most ``SAMPLE`` labelled rows of each label (those of smallest hash) are learned from, ``WORDS`` words and
 ``EXAMPLES`` examples of each label make the index; these rows, words and weights are all that is broadcast (about 1 MB).
@@ -109,6 +110,7 @@ class ToxicityScorer:
         self.vocabulary, self.idf = np.zeros(0, np.uint64), np.zeros(0)
         self.rows: list[tuple[np.ndarray, np.ndarray]] = []
         self.labels, self.ids, self.base = np.zeros(0), [], 0.0
+        self.scale = self.each = np.ones(2)  # rows of each label (0, 1) that a learned row, and an example, stands for
         self.steps = np.zeros(1), np.zeros(1)
 
     def _vector(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +120,14 @@ class ToxicityScorer:
 
     def _vote(self, ids: np.ndarray, sims: np.ndarray) -> float:
         w = sims**self.power
+        w = w * self.each[self.labels[ids].astype(np.int64)]
         return float((w * self.labels[ids]).sum() / w.sum()) if len(w) else -1.0
 
     def fit(self, docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> "ToxicityScorer":
         """Learns from ``docs`` with a label; ``corpus`` (default ``docs``) gives document frequencies."""
         one = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max(label).alias("_label"))
+        labelled = {int(r["_label"]): r["n"] for r in one.where(F.col("_label").isin(0, 1)).groupBy("_label").agg(F.count("*").alias("n")).collect()}
+        self.scale = np.array([max(1.0, labelled.get(v, 0) / self.sample) for v in (0, 1)])
         by = (F.xxhash64("_key"), F.col("_key"))
         picked = [one.where(F.col("_label") == v).orderBy(*by).limit(self.sample) for v in (0, 1)]
         # at most 2 * sample rows of a key and a label
@@ -144,10 +149,14 @@ class ToxicityScorer:
         size = {int(r["_label"]): r["n"] for r in totals}
         if not size.get(1):
             return self
-        n, share = sum(size.values()), size[1] / sum(size.values())
+        n = sum(size.values())
+        # weights of clean and toxic rows that give their shares among all labelled rows, and no more evidence than was sampled
+        clean, toxic = (float(x) for x in self.scale * n / sum(self.scale[v] * k for v, k in size.items()))
+        share = toxic * size[1] / n
         counted = known.select("text", F.col("_label").cast("long").alias("l")).mapInArrow(distinct, "word long, n long, toxic long")
         counted = counted.groupBy("word").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")).where("n >= 4")
-        excess = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 1e-9)
+        weight = clean * (F.col("n") - F.col("toxic")) + toxic * F.col("toxic")
+        excess = (toxic * F.col("toxic") - weight * share) / F.sqrt(weight * share * (1 - share) + 1e-9)
         best = counted.withColumn("z", excess).where("z > 4").orderBy(F.desc("z"), "word").limit(self.words).collect()
         self.vocabulary = np.sort(np.array([r["word"] for r in best], dtype=np.int64).view(np.uint64))
         self.idf = np.ones(len(self.vocabulary))
@@ -188,17 +197,20 @@ class ToxicityScorer:
         runs = vectors.select("_key", "_label", F.array_distinct("at").alias("d"), "at").select(
             "_key", "_label", "d", F.transform("d", lambda d: F.size(F.filter("at", lambda x: x == d))).alias("n")).orderBy(F.xxhash64("_key"), "_key").collect()
         empty = [r["_label"] for r in runs if not r["d"]]
-        self.base = float(np.mean(empty)) if empty else 0.0
+        weigh = lambda labels: self.scale[np.array(labels, dtype=np.int64)]
+        self.base = float(np.average(empty, weights=weigh(empty))) if empty else 0.0
         full = [r for r in runs if r["d"]]
         chosen = [r for v in (0, 1) for r in [x for x in full if x["_label"] == v][: self.examples]]
         self.rows = [self._weights(np.array(r["d"]), np.array(r["n"])) for r in chosen]
         self.labels, self.ids = np.array([float(r["_label"]) for r in chosen]), [r["_key"] for r in chosen]
         if not chosen:
             return
+        of = [sum(r["_label"] == v for r in full) for v in (0, 1)]
+        self.each = self.scale * [max(1.0, k / self.examples) for k in of]
         index = BlockMaxIndex(self.rows, len(self.vocabulary))
         votes = np.array([self._vote(*index.nearest(*self._weights(np.array(r["d"]), np.array(r["n"])), self.neighbours, self._own(r["_key"]))) for r in full])
         votes, labels = np.append(votes, -1.0), np.append([float(r["_label"]) for r in full], self.base)
-        weights = np.append(np.ones(len(full)), max(len(empty), 1))
+        weights = np.append(weigh([r["_label"] for r in full]), max(weigh(empty).sum(), 1))
         self.steps = _isotonic(votes, labels, weights)
 
     def _own(self, key) -> int:

@@ -348,6 +348,23 @@ def test_toxic_words_are_found(spark, empty):
     assert {r.score for r in none.transform(docs).collect()} == {0.0} and model.transform(docs.where("false")).count() == 0
 
 
+def test_toxicity_is_alike_on_a_balanced_sample(spark):
+    rng = np.random.default_rng(19)
+    plain = words_of(300, 60)
+    data = []
+    for i in range(2000):
+        text = list(rng.choice(plain, 20))
+        if i % 10 == 0 and i % 50 or i % 10 == 3 and i % 30 == 13:  # four of five toxic texts and a tenth of that of the others
+            text[3] = "scum"
+        data.append((i, " ".join(text), int(i % 10 == 0)))
+    docs = spark.createDataFrame(data, "doc_id long, text string, toxic int")
+    ask = spark.createDataFrame([(1, ""), (2, "scum")], "doc_id long, text string")
+    whole, half = ({r.doc_id: r.score for r in ToxicityScorer(sample=n).fit(docs, docs).transform(ask).collect()} for n in (8000, 200))
+    assert abs(whole[1] - half[1]) < 0.02 and abs(whole[2] - half[2]) < 0.15
+    few = ToxicityScorer(examples=40).fit(docs, docs)
+    assert np.allclose(few.each, [max(1, 67 / 40), 160 / 40], rtol=0.1)
+
+
 def test_weak_labels_part_good_from_bad(spark, empty):
     rng = np.random.default_rng(10)
     plain = words_of(500, 40)
