@@ -1,5 +1,7 @@
 """Best-fit packing of token pieces into sequences under several capacities at once.
 
+Without ``limits`` only the tokens of a sequence bind, and packing is best-fit decreasing on them.
+
 What a piece takes of each capacity (tokens, one document, length squared of attention) follows from its length, so
 packing needs only how many pieces have each length: at most ``capacity`` counts, however large the corpus. ``plan``
 packs these counts, longest first. For each length it takes the bin that scores best under every constraint, by the weighted
