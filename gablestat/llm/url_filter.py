@@ -4,9 +4,9 @@ The trees are trained on the URLs that a rule decides. Features are lexical only
 entropy, parameter counts and statistics of the host's suffix. Everything is DataFrame work; the trees are those
 of Spark's own library.
 
-Bounds: at most ``SAMPLE`` labelled URLs of each label train the trees (those of smallest hash), so the suffix
-table has at most ``2 * SAMPLE`` rows and may be broadcast. Statistics of a suffix that training did not see are
-those of the whole sample.
+Bounds: at most ``SAMPLE`` labelled URLs of each label train the trees (those of smallest hash). Shares of suffixes
+and first path parts are counted over all URLs, their block rates over all that a rule decides; a table of these is
+broadcast only if it was counted to have at most ``2 * SAMPLE`` rows.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and fits no rule; an empty path
 starts with no rule's path; if training has no URL of one of the labels, every URL that no rule fits gets the label
@@ -97,7 +97,7 @@ class UrlFilter:
 
     def __init__(self, rules: dict[str, str], sample: int = SAMPLE, rounds: int = 20, depth: int = 4, seed: int = 7):
         self.rules, self.sample, self.rounds, self.depth, self.seed = rules, sample, rounds, depth, seed
-        self.model, self.only, self.stats, self.base = None, "allow", {}, 0.5
+        self.model, self.only, self.stats, self.small, self.base = None, "allow", {}, {}, 0.5
 
     def _labelled(self, rows: DataFrame) -> DataFrame:
         """Adds ``rule`` and ``_block`` (1 block, 0 allow, null undecided)."""
@@ -110,13 +110,14 @@ class UrlFilter:
         """Adds the smoothed block rates and the share of the host's suffix and the path's first part."""
         for column, named in (("_suffix", "f_suffix"), ("_dir", "f_dir")):
             table = self.stats[column].select(F.col("key").alias(column), F.col("rate").alias(f"{named}_rate"), F.col("share").alias(f"{named}_share"))
-            rows = rows.join(F.broadcast(table), column, "left")
+            rows = rows.join(F.broadcast(table) if self.small[column] else table, column, "left")
         return rows.fillna({"f_suffix_rate": self.base, "f_dir_rate": self.base, "f_suffix_share": 0.0, "f_dir_share": 0.0})
 
     def fit(self, urls: DataFrame, url: str = "url") -> "UrlFilter":
         """Learns from the rows that a rule decides."""
         ensure_checkpoint_dir(urls.sparkSession)
-        known = self._labelled(lexical(urls.select(url), url)).where("_block is not null")
+        rows = self._labelled(lexical(urls.select(url), url))
+        known = rows.where("_block is not null")
         order = (F.xxhash64("_url"), F.col("_url"))
         picked = [known.where(F.col("_block") == v).orderBy(*order).limit(self.sample) for v in (0.0, 1.0)]
         train = cut_lineage(picked[0].unionByName(picked[1]))
@@ -124,11 +125,14 @@ class UrlFilter:
         if len(counts) < 2:
             self.only = "block" if counts.get(1.0) else "allow"
             return self
-        n = counts[0.0] + counts[1.0]
-        self.base = counts[1.0] / n
+        counted = cut_lineage(rows.groupBy("_suffix", "_dir").agg(
+            F.coalesce(F.sum("_block"), F.lit(0.0)).alias("blocked"), F.count("_block").alias("decided"), F.count("*").alias("n")))
+        total = counted.agg(F.sum("blocked").alias("blocked"), F.sum("decided").alias("decided"), F.sum("n").alias("n")).first()
+        self.base = total["blocked"] / total["decided"]
         for column in ("_suffix", "_dir"):
-            self.stats[column] = cut_lineage(train.groupBy(F.col(column).alias("key")).agg(
-                ((F.sum("_block") + self.base * PRIOR) / (F.count("*") + PRIOR)).alias("rate"), (F.count("*") / n).alias("share")))
+            self.stats[column] = cut_lineage(counted.groupBy(F.col(column).alias("key")).agg(
+                ((F.sum("blocked") + self.base * PRIOR) / (F.sum("decided") + PRIOR)).alias("rate"), (F.sum("n") / total["n"]).alias("share")))
+            self.small[column] = self.stats[column].count() <= 2 * SAMPLE
         ready = VectorAssembler(inputCols=list(FEATURES), outputCol="_features").transform(self._with_stats(train))
         self.model = GBTClassifier(
             featuresCol="_features", labelCol="_block", maxIter=self.rounds, maxDepth=self.depth, seed=self.seed, stepSize=0.2,

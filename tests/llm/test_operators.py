@@ -293,6 +293,15 @@ def test_urls_follow_the_longest_rule(spark):
     assert UrlFilter(rules).fit(pages).transform(none).count() == 0
 
 
+def test_url_statistics_are_those_of_all_urls(spark):
+    urls = [f"http://a{i}.com/x/{i}" for i in range(60)] + [f"http://b{i}.net/es/{i}" for i in range(20)] + [f"http://c{i}.org/y" for i in range(20)]
+    pages = spark.createDataFrame([(u,) for u in urls], "url string")
+    model = UrlFilter({"com/": "allow", "net/es/": "block"}, sample=10, rounds=2).fit(pages)
+    assert {r.key: round(r.share, 6) for r in model.stats["_suffix"].collect()} == {"com": 0.6, "net": 0.2, "org": 0.2}
+    assert model.base == 0.25 and {r.key: r.rate for r in model.stats["_suffix"].collect()}["org"] == 0.25
+    assert model.transform(pages).count() == 100
+
+
 def test_languages_are_told_apart(spark, empty):
     words = {"aa": words_of(60, 20), "bb": [w.replace("a", "é") + "ß" for w in words_of(60, 21)]}
     rng = np.random.default_rng(6)
