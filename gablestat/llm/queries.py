@@ -181,3 +181,48 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _documents(spark, sf_dir).select("doc_id", "text")
     return WeakQuality().fit(docs).transform(docs).drop("text")
+
+
+SQL_COLLOCATIONS = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(ws) >= k
+), f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL
+), t AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, phrase, k AS size, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10
+), u AS MATERIALIZED (
+  SELECT lang, phrase, a, i.k, array_to_string(ws[1:i.k], ' ') AS p1, array_to_string(ws[i.k + 1:], ' ') AS p2
+  FROM c, (SELECT unnest([1, 2]) AS k) i WHERE i.k < size
+), h AS MATERIALIZED (
+  SELECT lang, phrase, a FROM f WHERE a >= 10
+), s AS (
+  SELECT u.lang, u.phrase, u.k, u.a, l.a AS l, r.a AS r, CAST(1000000::HUGEINT * u.a * u.a // (l.a::HUGEINT * r.a) AS BIGINT) AS score
+  FROM u JOIN h l ON l.lang = u.lang AND l.phrase = u.p1 JOIN h r ON r.lang = u.lang AND r.phrase = u.p2
+), b AS (
+  SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), o AS (
+  SELECT lang, array_to_string(ws[1:2], ' ') AS phrase, a FROM c WHERE size = 3 UNION ALL SELECT lang, array_to_string(ws[2:3], ' '), a FROM c WHERE size = 3
+), v AS (
+  SELECT lang, phrase, max(a) AS a FROM o GROUP BY ALL
+), x AS (
+  SELECT b.* FROM b LEFT JOIN v USING (lang, phrase) WHERE v.a IS NULL OR 100 * v.a < 50 * b.a
+), z AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank FROM x
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM z JOIN t USING (lang) WHERE rank <= 2000
+"""
+
+
+@_register("op13_phrase_collocations", SQL_COLLOCATIONS)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.collocations import top_collocations
+
+    return top_collocations(_documents(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
