@@ -226,3 +226,38 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gablestat.llm.collocations import top_collocations
 
     return top_collocations(_documents(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
+
+
+SQL_SEARCH = r"""
+WITH t AS MATERIALIZED (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), l AS MATERIALIZED (
+  SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM t GROUP BY r
+), c AS MATERIALIZED (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM l
+), q AS MATERIALIZED (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL
+), f AS MATERIALIZED (
+  SELECT r, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL
+), w AS MATERIALIZED (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM f GROUP BY term), c
+), g AS MATERIALIZED (
+  SELECT f.r, f.term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + ((25 * n * n_docs) // n_terms)))) AS gain
+  FROM f JOIN w USING (term) JOIN l USING (r), c
+), s AS MATERIALIZED (
+  SELECT item_id, r, CAST(sum(gain * q) AS BIGINT) AS score FROM g JOIN q USING (term) GROUP BY ALL HAVING sum(gain * q) > 0
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM s JOIN l USING (r) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) <= 20
+"""
+
+
+@_register("op12_ranked_search", SQL_SEARCH)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gablestat.llm.lexical_search import search
+
+    return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
