@@ -261,3 +261,16 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gablestat.llm.lexical_search import search
 
     return search(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@_register("op11_chat_format")
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from gablestat.llm.chat_format import chat_windows, read_back
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"  # a conversation of control strings, as the query's contract has it
+    more = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], turns.schema)
+    windows = chat_windows(turns.unionByName(more), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return read_back(windows).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
