@@ -1,16 +1,19 @@
 """Phrase collocations from stripes: every prefix keys an associative counter of the words after it.
 
 A task counts the prefixes of a chunk of text at once and emits one *stripe* per prefix: the words that follow it with
-their counts, and the prefix's own total under the empty word, which no text contains. Stripes of one prefix meet in
-the shuffle and are merged elementwise. The merged structure has everything a score needs: entries are the counts of
-phrases one word longer than the prefix, the empty word's entry is the count of the prefix, and the largest entry tells
-which shorter phrases a longer one subsumes.
+their counts; a prefix of one word also has its own total, under the empty word, which no text contains. Stripes of one
+prefix meet in the shuffle and are merged elementwise. The merged stripes have everything a score needs: entries are the
+counts of phrases one word longer than the prefix and so the totals of longer prefixes, and the largest entry of a
+prefix tells whether a longer phrase subsumes it.
 
-Entries below ``min_count`` leave after the merge, when they are exact: a phrase that often implies parts that often.
+Prefixes grow a word at a time. Entries below ``min_count`` leave after a merge, when they are exact, and a longer prefix
+is counted only where the phrases inside it may have reached it: a bitmap of ``BITS`` hashed phrases, always of that
+size, says where they can't have. Where it errs, a phrase is counted in vain and leaves after its merge.
 
 A prefix of frequent words only may have a stripe that grows with the corpus, so its stripe is cut into ``SEGMENTS`` by
-the hash of the next word. Frequent are the words with at least one in ``HOT`` of all word occurrences, so there are at
-most ``HOT`` of them, whatever the input; that bounds the broadcast. Any other prefix holds less than that share.
+the hash of the next word. A first scan finds the words with at least one in ``HOT`` of all occurrences. Each chunk reports
+those with half that share of its own words, so what goes unreported of a frequent word is less than half of it, and
+the words reported for half the share overall are ``2 HOT`` at most, whatever the input; that bounds the broadcast.
 
 Defined results: a null text counts as empty and gives nothing; a null language is ``und``; repeated rows count as often
 as they occur; texts of any length are counted whole, a chunk takes whole texts; ties are ranked by count, then phrase;
@@ -25,16 +28,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gablestat.llm.words import buffers
+from gablestat.llm.words import buffers, mix
 from gablestat.session import cut_lineage
 
 #: Bytes of text that are counted together.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: A word is frequent with one in HOT of all occurrences; a prefix of such words is cut into so many segments.
 HOT, SEGMENTS = 2000, 64
+#: Binary logarithms of the bits of the bitmap and of the part of it that one row holds.
+BITS, PART = 27, 20
 #: Phrases of a language are first ranked in so many groups.
 GROUPS = 64
 
@@ -98,57 +104,36 @@ def _taken(words: pa.Array, codes: np.ndarray) -> pa.Array:
     return words.take(pa.array(codes)).cast(pa.binary()).cast(pa.string())
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``lang word n`` of each chunk."""
+def _lang(langs: pa.Array, codes: np.ndarray) -> pa.Array:
+    return langs.dictionary.take(pa.array(codes)).cast(pa.string())
+
+
+def _count_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang word n``: the frequent words of each chunk, and all its words of a language under the empty word."""
     for data, offsets, lang in _chunks(batches):
         words, codes, text, _ = _words(data, offsets)
         if len(codes) == 0:
             continue
+        v = len(words)
         langs = lang.combine_chunks().dictionary_encode()
-        key, n = np.unique(langs.indices.to_numpy()[text].astype(np.int64) * len(words) + codes, return_counts=True)
-        yield pa.record_batch([_lang(langs, key // len(words)), _taken(words, key % len(words)), pa.array(n)], names=["lang", "word", "n"])
+        of_lang = langs.indices.to_numpy()[text].astype(np.int64)
+        key, n = np.unique(of_lang * v + codes, return_counts=True)
+        often = n * (2 * HOT) >= len(codes)
+        key, n = key[often], n[often]
+        total = np.bincount(of_lang, minlength=len(langs.dictionary))
+        yield pa.record_batch(
+            [pa.concat_arrays([_lang(langs, key // v), _lang(langs, np.arange(len(total)))]),
+             pa.concat_arrays([_taken(words, key % v), pa.array([""] * len(total))]), pa.array(np.concatenate([n, total]).astype(np.int64))],
+            names=["lang", "word", "n"])
 
 
-def _lang(langs: pa.Array, codes: np.ndarray) -> pa.Array:
-    return langs.dictionary.take(pa.array(codes)).cast(pa.string())
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
 
 
-def _stripes(longest: int, hot: dict[str, set[bytes]]):
-    """Counts the stripes of each chunk: ``lang prefix size segment next counts``, prefixes of 2 to ``longest - 1`` words."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for data, offsets, lang in _chunks(batches):
-            words, codes, text, joined = _words(data, offsets)
-            v = len(words)
-            if v == 0:
-                continue
-            langs = lang.combine_chunks().dictionary_encode()
-            spread = np.array([zlib.crc32(w) % SEGMENTS for w in words.to_pylist()], dtype=np.int64)
-            code_of_lang = langs.indices.to_numpy()[text].astype(np.int64)
-            key, ids = np.unique(code_of_lang * v + codes, return_inverse=True)
-            is_hot = np.isin(key, _hot_keys(hot, langs.dictionary, words))[ids]
-            # `alive` holds where a phrase of `size` words begins, `ids` its place among the distinct ones, which `shown` spells out
-            shown, lang_of, all_hot, alive, totals = _taken(words, key % v), key // v, is_hot, np.arange(len(codes)), None
-            for size in range(2, longest + 1):
-                last = alive + size - 1
-                fits = last < len(codes)
-                fits[fits] = joined[last[fits]]
-                alive, ids, all_hot, last = alive[fits], ids[fits], all_hot[fits], last[fits]
-                pair, place, n = np.unique(ids * v + codes[last], return_inverse=True, return_counts=True)
-                prefix, after = pair // v, pair % v
-                if totals is not None:
-                    yield from _emit(shown, lang_of, totals, prefix_hot, prefix, after, n, words, spread, langs, size - 1)
-                if len(alive) == 0 or size == longest > 2:
-                    break
-                shown = pc.binary_join_element_wise(shown.take(pa.array(prefix)), _taken(words, after), " ")
-                lang_of, totals, ids, all_hot = lang_of[prefix], n, place, all_hot & is_hot[last]
-                prefix_hot = np.zeros(len(pair), dtype=bool)
-                prefix_hot[place] = all_hot
-            if longest == 2 and totals is not None:
-                none = np.zeros(0, dtype=np.int64)
-                yield from _emit(shown, lang_of, totals, prefix_hot, none, none, none, words, spread, langs, 2)
-
-    return count
+def _followed(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hash of a phrase from those of the phrase without its last word and of that word; a language is the phrase of no words."""
+    return mix(before * np.uint64(0x9E3779B97F4A7C15) + word)
 
 
 def _hot_keys(hot: dict[str, set[bytes]], langs: pa.Array, words: pa.Array) -> np.ndarray:
@@ -161,59 +146,127 @@ def _hot_keys(hot: dict[str, set[bytes]], langs: pa.Array, words: pa.Array) -> n
     return np.concatenate(keys)
 
 
-def _emit(shown, lang_of, totals, prefix_hot, prefix, after, n, words, spread, langs, size) -> Iterator[pa.RecordBatch]:
-    """The stripes of one chunk, the prefix's total in segment 0 under the empty word."""
-    many = len(shown)
-    owner = np.concatenate([np.arange(many), prefix])
-    word = np.concatenate([np.full(many, len(words)), after])
-    count = np.concatenate([totals, n])
-    segment = np.concatenate([np.zeros(many, dtype=np.int64), np.where(prefix_hot[prefix], spread[after], 0)])
+def _stripes(size: int, hot, bitmap):
+    """Counts the stripes of prefixes of ``size`` words in each chunk: ``lang prefix segment next counts``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data, offsets, lang in _chunks(batches):
+            words, codes, text, joined = _words(data, offsets)
+            v, n = len(words), len(codes)
+            if v == 0:
+                continue
+            langs = lang.combine_chunks().dictionary_encode()
+            known = words.to_pylist()
+            of_lang = langs.indices.to_numpy()[text].astype(np.int64)
+            # `alive` holds where a phrase of one word more begins that lies within a piece
+            alive = np.arange(max(n - size, 0))
+            for k in range(1, size + 1):
+                alive = alive[joined[alive + k]]
+            if size > 1:
+                hashed, own = _hashes([x.encode() for x in langs.dictionary.to_pylist()])[of_lang], _hashes(known)[codes]
+                for k in range(size):
+                    hashed = _followed(hashed[: n - k], own[k:])
+                place = hashed >> np.uint64(64 - BITS)
+                may = (bitmap.value[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                alive = alive[may[alive] & may[alive + 1]]
+            # the prefixes, spelt out word by word
+            every = np.arange(n) if size == 1 else alive
+            key, ids, total = np.unique(of_lang[every] * v + codes[every], return_inverse=True, return_counts=True)
+            is_hot = np.isin(key, _hot_keys(hot.value, langs.dictionary, words))[ids]
+            shown, lang_of = _taken(words, key % v), key // v
+            for k in range(1, size):
+                key, ids = np.unique(ids * v + codes[alive + k], return_inverse=True)
+                shown = pc.binary_join_element_wise(shown.take(pa.array(key // v)), _taken(words, key % v), " ")
+                lang_of = lang_of[key // v]
+                is_hot &= np.isin(of_lang[alive] * v + codes[alive + k], _hot_keys(hot.value, langs.dictionary, words))
+            wide = np.zeros(len(shown), dtype=bool)
+            wide[ids] = is_hot
+            pair, counts = np.unique((ids[alive] if size == 1 else ids) * v + codes[alive + size], return_counts=True)
+            owner, word = pair // v, pair % v
+            spread = np.array([zlib.crc32(w) % SEGMENTS for w in known], dtype=np.int64)
+            segment = np.where(wide[owner], spread[word], 0)
+            if size == 1:
+                owner, word = np.concatenate([np.arange(len(shown)), owner]), np.concatenate([np.full(len(shown), v), word])
+                counts, segment = np.concatenate([total, counts]), np.concatenate([np.zeros(len(shown), dtype=np.int64), segment])
+            yield from _emit(shown, langs, lang_of, owner, word, counts, segment, words)
+
+    return count
+
+
+def _emit(shown, langs, lang_of, owner, word, counts, segment, words) -> Iterator[pa.RecordBatch]:
+    """One row for each prefix and segment; the code after the last word's is the empty word."""
     order = np.argsort(owner * SEGMENTS + segment, kind="stable")
     row = (owner * SEGMENTS + segment)[order]
-    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
     vocabulary = pa.concat_arrays([words.cast(pa.binary()), pa.array([b""])])
-    entries = _taken(vocabulary, word[order])
-    bounds = pa.array(np.concatenate([first, [len(row)]]).astype(np.int32))
-    own = row[first] // SEGMENTS
-    whole = pa.record_batch(
-        [_lang(langs, lang_of[own]), shown.take(pa.array(own)), pa.array(np.full(len(own), size, dtype=np.int32)),
-         pa.array((row[first] % SEGMENTS).astype(np.int32)), pa.ListArray.from_arrays(bounds, entries),
-         pa.ListArray.from_arrays(bounds, pa.array(count[order].astype(np.int64)))],
-        names=["lang", "prefix", "size", "segment", "next", "counts"])
-    for start in range(0, whole.num_rows, 1 << 16):
-        yield whole.slice(start, 1 << 16)
+    for start in range(0, len(first), 1 << 15):
+        rows = first[start : start + (1 << 15)]
+        stop = first[start + (1 << 15)] if start + (1 << 15) < len(first) else len(row)
+        own, entries = row[rows] // SEGMENTS, order[rows[0] : stop]
+        bounds = pa.array(np.append(rows, stop).astype(np.int32) - np.int32(rows[0]))
+        yield pa.record_batch(
+            [_lang(langs, lang_of[own]), shown.take(pa.array(own)), pa.array((row[rows] % SEGMENTS).astype(np.int32)),
+             pa.ListArray.from_arrays(bounds, _taken(vocabulary, word[entries])), pa.ListArray.from_arrays(bounds, pa.array(counts[entries].astype(np.int64)))],
+            names=["lang", "prefix", "segment", "next", "counts"])
 
 
 def _texts(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(text).alias("text"), F.coalesce(F.col(lang), F.lit("und")).alias("lang")).where("text is not null")
 
 
-def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang word n``: all occurrences of every word."""
-    found = _texts(docs, text, lang).mapInArrow(_count_words, "lang string, word string, n long")
-    return found.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+def frequent_words(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[dict[str, set[bytes]], DataFrame]:
+    """The words with one in ``HOT`` of all occurrences, ``2 HOT`` at most, and ``lang n`` of all words."""
+    found = cut_lineage(_texts(docs, text, lang).mapInArrow(_count_frequent, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    totals = found.where("word = ''").select("lang", "n")
+    total = totals.agg(F.sum("n")).first()[0] or 0
+    hot: dict[str, set[bytes]] = {}
+    for r in found.where((F.col("word") != "") & (F.col("n") * (2 * HOT) >= F.lit(total))).collect():
+        hot.setdefault(r.lang, set()).add(r.word.encode())
+    return hot, totals
 
 
-def hot_words(words: DataFrame) -> dict[str, set[bytes]]:
-    """The words with one in ``HOT`` of all occurrences, so ``HOT`` of them at most."""
-    total = words.agg(F.sum("n")).first()[0] or 0
-    found: dict[str, set[bytes]] = {}
-    for r in words.where(F.col("n") * HOT >= F.lit(total)).collect() if total else []:
-        found.setdefault(r.lang, set()).add(r.word.encode())
-    return found
-
-
-def merged_stripes(docs: DataFrame, hot: dict[str, set[bytes]], longest: int = 3, min_count: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``lang size prefix next n``: the entries of all merged stripes that reach ``min_count``; ``next`` is empty for the prefix's own total.
+def merged_stripes(docs: DataFrame, size: int, min_count: int, hot, bitmap, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang prefix next n``: the entries of the merged stripes of prefixes of ``size`` words that reach ``min_count``.
 
     The shuffle deals stripes by prefix and segment; entries are summed where the stripes meet, without another shuffle.
     """
-    local = _texts(docs, text, lang).mapInArrow(
-        _stripes(longest, hot), "lang string, prefix string, size int, segment int, next array<string>, counts array<long>")
+    local = _texts(docs, text, lang).mapInArrow(_stripes(size, hot, bitmap), "lang string, prefix string, segment int, next array<string>, counts array<long>")
     met = local.repartition("lang", "prefix", "segment")
-    entries = met.select("lang", "prefix", "size", "segment", F.inline(F.arrays_zip("next", "counts")))
-    summed = entries.groupBy("lang", "prefix", "segment", "size", "next").agg(F.sum("counts").alias("n"))
-    return summed.where(F.col("n") >= min_count).select("lang", "size", "prefix", "next", "n")
+    entries = met.select("lang", "prefix", "segment", F.inline(F.arrays_zip("next", "counts")))
+    summed = entries.groupBy("lang", "prefix", "segment", "next").agg(F.sum("counts").alias("n"))
+    return summed.where(F.col("n") >= min_count).select("lang", "prefix", "next", "n")
+
+
+def _bitmap(phrases: DataFrame) -> np.ndarray:
+    """A bit for the hash of each phrase (``lang phrase``). A row holds 2 ** ``PART`` bits, so the driver gets the bitmap and no more."""
+    part = min(PART, BITS)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, inverse = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
+            split = [p.encode().split(b" ") for p in batch.column("phrase").to_pylist()]
+            if not split:
+                continue
+            hashed = _hashes([x.encode() for x in names])[inverse]
+            for k in range(len(split[0])):
+                hashed = _followed(hashed, _hashes([p[k] for p in split]))
+            yield pa.record_batch([pa.array((hashed >> np.uint64(64 - BITS)).astype(np.int64))], names=["place"])
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            for own in np.unique(place >> part).tolist():
+                inside = place[place >> part == own] - (own << part)
+                np.bitwise_or.at(held.setdefault(own, np.zeros(1 << part >> 3, dtype=np.uint8)), inside >> 3, (1 << (inside & 7)).astype(np.uint8))
+        for own, value in held.items():
+            yield pa.record_batch([pa.array([own]), pa.array([value.tobytes()], pa.binary())], names=["part", "bits"])
+
+    found = phrases.select("lang", "phrase").mapInArrow(places, "place long").repartition(F.shiftright("place", part)).mapInArrow(bits, "part long, bits binary")
+    out = np.zeros(1 << BITS >> 3, dtype=np.uint8)
+    for r in found.toLocalIterator():
+        out[r.part << part >> 3 : (r.part + 1) << part >> 3] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out
 
 
 def _ratio(a: Column, left: Column, right: Column) -> Column:
@@ -222,23 +275,35 @@ def _ratio(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", wide[0] * wide[0] * F.lit(1000000).cast("decimal(7,0)"), wide[1] * wide[2])
 
 
+def phrase_counts(docs: DataFrame, hot: dict[str, set[bytes]], longest: int = 3, min_count: int = 10, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``lang phrase size a``: phrases of 1 to ``longest`` words that occur ``min_count`` times, from merged stripes."""
+    context = docs.sparkSession.sparkContext
+    frequent, bitmap, out = context.broadcast(hot), None, None
+    for size in range(1, max(longest, 2)):
+        merged = cut_lineage(merged_stripes(docs, size, min_count, frequent, bitmap, text, lang))
+        grown = merged.where("next <> ''").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.lit(size + 1).alias("size"), F.col("n").alias("a"))
+        if out is None:
+            out = merged.where("next = ''").select("lang", F.col("prefix").alias("phrase"), F.lit(1).alias("size"), F.col("n").alias("a"))
+        out = out.unionByName(grown)
+        if size + 1 < longest:
+            bitmap = context.broadcast(_bitmap(grown))
+    return out
+
+
 def collocations(
     docs: DataFrame, longest: int = 3, min_count: int = 10, subsumed_pct: int = 50, text: str = "text", lang: str = "lang",
-    words: DataFrame | None = None,
+    hot: dict[str, set[bytes]] | None = None,
 ) -> DataFrame:
     """``lang size phrase a l r score``: all phrases of 2 to ``longest`` words that no longer one subsumes.
 
     The lowest-scoring cut of a phrase counts, on ties the one with the shortest first part. A phrase goes if a longer
     candidate holds its words in a row and has at least ``subsumed_pct`` per cent of its count. It is enough to look one
-    word further: what a phrase two words longer holds, one between them holds at least as often. ``words`` are stored word counts, if they are at hand.
+    word further: what a phrase two words longer holds, one between them holds at least as often. ``hot`` are the frequent
+    words, if they are at hand.
     """
-    words = cut_lineage(word_counts(docs, text, lang)) if words is None else words
-    kept = cut_lineage(merged_stripes(docs, hot_words(words), longest, min_count, text, lang))
-    one = words.where(F.col("n") >= min_count).select("lang", F.col("word").alias("phrase"), F.col("n").alias("a"))
-    totals = kept.where("next = ''").select("lang", F.col("prefix").alias("phrase"), F.col("n").alias("a"), "size")
-    grown = kept.where(f"next <> '' and size = {longest - 1}").select("lang", F.concat_ws(" ", "prefix", "next").alias("phrase"), F.col("n").alias("a"), (F.col("size") + 1).alias("size"))
-    phrases = totals.unionByName(grown) if longest > 2 else totals
-    parts = one.unionByName(phrases.where(F.col("size") < longest).select("lang", "phrase", "a"))
+    hot = frequent_words(docs, text, lang)[0] if hot is None else hot
+    counted = phrase_counts(docs, hot, longest, min_count, text, lang)
+    phrases, parts = counted.where("size > 1"), counted.where(F.col("size") < longest)
 
     # every cut of every phrase meets the counts of both of its parts
     cut = phrases.withColumn("_w", F.split("phrase", " ")).select(
@@ -266,9 +331,8 @@ def top_collocations(docs: DataFrame, top: int = 2000, text: str = "text", lang:
     Phrases are ranked in ``GROUPS`` groups of a language first, so the last task of a language gets a bounded number of
     rows however many partitions there are.
     """
-    words = cut_lineage(word_counts(docs, text, lang))
-    found = cut_lineage(collocations(docs, text=text, lang=lang, words=words, **options))
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
+    hot, totals = frequent_words(docs, text, lang)
+    found = collocations(docs, text=text, lang=lang, hot=hot, **options)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     grouped = found.withColumn("_g", F.pmod(F.xxhash64("phrase"), F.lit(GROUPS)))
     first = grouped.withColumn("_p", F.row_number().over(Window.partitionBy("lang", "_g").orderBy(*order))).where(F.col("_p") <= top)
