@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gablestat.functions.columns import half_open_year
-from gablestat.operators.quantiles import few_groups, quantiles
+from gablestat.operators.quantiles import quantiles
 
 
 def split_names(df: DataFrame, wanted: Sequence[str]) -> tuple[list[str], list[str]]:
@@ -51,9 +51,10 @@ def tukey_fences(
 def iqr_filter(
     df: DataFrame, col: str, k: float = 1.5, by: Sequence[str] = (), *, approx: bool = False, bounded_groups=None
 ) -> DataFrame:
-    """Rows within the fences, bounds included. Fences come from ``df`` itself, per group if asked."""
-    if bounded_groups is None:
-        bounded_groups = few_groups(df, by)
+    """Rows within the fences, bounds included. Fences come from ``df`` itself, per group if asked.
+
+    The fences are a stored table, whose size decides whether they are broadcast unless ``bounded_groups`` says it.
+    """
     fences = tukey_fences(df, col, k, by, approx=approx, bounded_groups=bounded_groups)
     if not by:
         pair = fences.select(F.struct("lo", "hi").alias("fence")).scalar()

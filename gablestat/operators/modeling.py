@@ -59,15 +59,14 @@ def split_stratified(
 
     Bands lie between ``groups`` evenly spaced quantiles, upper edge included. In each
     band the ceil(frac n) rows with the smallest key hash are train. The hash at that rank
-    is searched for without sorting a band in one task; rows sharing a key share a side.
+    is searched for without sorting a band in one task; rows sharing a key share a side. The rows are stored with their hash first.
     """
     probs = [i / (groups - 1) for i in range(1, groups - 1)]
-    cuts = quantiles(df, y, probs)
+    rows = cut_lineage(df.withColumn("__h", hash_number(keys, seed, 13).cast("double")))
+    cuts = quantiles(rows, y, probs)
     edges = cuts.select(F.array(*cuts.columns).alias("e")).scalar()
     stratum = F.size(F.filter("__edges", lambda e: F.col(y) > e))
-    rows = df.withColumn("__edges", edges).withColumns(
-        {"stratum": stratum, "__h": hash_number(keys, seed, 13).cast("double")}
-    ).drop("__edges")
+    rows = rows.withColumn("__edges", edges).withColumn("stratum", stratum).drop("__edges")
 
     def rank(total: Column) -> Column:
         return F.greatest(F.ceil(total * F.lit(float(frac))) - 1, F.lit(0))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestat.operators.quantiles import column_name, column_quantiles, melt, numbers, quantiles
+from gablestat.operators.quantiles import column_name, column_quantiles, melt, numbers, quantiles, sketched_columns
+from gablestat.session import cut_lineage
 
 
 def is_missing(field: T.StructField) -> Column:
@@ -58,30 +59,32 @@ def duplicate_count(df: DataFrame, digest: bool = False) -> DataFrame:
     ).withColumn("duplicate_rows", F.col("total_rows") - F.col("distinct_rows"))
 
 
+def _described(c: str) -> Column:
+    x = F.col(c).cast("double")
+    return F.struct(
+        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"),
+        F.min(x).alias("min"), F.max(x).alias("max"), F.count_if(F.col(c).isNull()).alias("missing"),
+    )
+
+
 def describe_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``(column, count, mean, stddev, min, max)`` for each column, from one aggregate."""
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("stddev"),
-                F.min(x).alias("min"), F.max(x).alias("max"),
-            ).alias(c)
-        )
-    return df.agg(*aggs).unpivot([], list(cols), "column", "s").select("column", "s.*")
+    """``(column, count, mean, stddev, min, max, missing)`` for each column, from one aggregate."""
+    return df.agg(*[_described(c).alias(c) for c in cols]).unpivot([], list(cols), "column", "s").select("column", "s.*")
 
 
 def summary_r(df: DataFrame, cols: Sequence[str], *, approx: bool = False) -> DataFrame:
-    """``(column, min, q1, median, mean, q3, max, missing)``."""
-    base = describe_numeric(df, cols)
-    missing = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).unpivot([], list(cols), "column", "missing")
-    quart = column_quantiles(df, cols, [0.25, 0.5, 0.75], approx=approx, names=["q1", "median", "q3"])
-    return (
-        base.join(quart, "column", "left")
-        .join(missing, "column")
-        .select("column", "min", "q1", "median", "mean", "q3", "max", "missing")
-    )
+    """``(column, min, q1, median, mean, q3, max, missing)``; the figures come with the first read of the quartiles.
+
+    A value that doesn't read as a number is no missing one.
+    """
+    probs, names = [0.25, 0.5, 0.75], ["q1", "median", "q3"]
+    if approx:
+        base, quart = describe_numeric(df, cols), column_quantiles(df, cols, probs, approx=True, names=names)
+    else:
+        first = cut_lineage(sketched_columns(df, cols, [], _described))
+        base = first.select(column_name(cols, "t_place").alias("column"), "more.*")
+        quart = column_quantiles(df, cols, probs, names=names, sketches=first.drop("more"))
+    return base.join(quart, "column", "left").select("column", "min", "q1", "median", "mean", "q3", "max", "missing")
 
 
 def outlier_profile(df: DataFrame, cols: Sequence[str], k: float = 1.5) -> DataFrame:

@@ -49,7 +49,7 @@ def clean_for_comparison(
 ) -> DataFrame:
     """Valid rows inside each snapshot's own value fences, with ratios and clean labels.
 
-    Unless ``bounded_groups`` says it, the periods are counted to see whether their fences may be broadcast.
+    ``bounded_groups`` says that the periods are few, so that their fences may be broadcast.
     """
     rows = valid_records(parse_roll(df), as_of_year, POSITIVE)
     rows = iqr_filter(rows, "total_value", by=[period], bounded_groups=bounded_groups)

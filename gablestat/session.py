@@ -72,8 +72,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows as a table in the shared folder, and its path for ``drop_stored``."""
     path = fresh_path(df.sparkSession, "rows")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path  # no job to find the schema
+
+
+def drop_stored(spark: SparkSession, path: str) -> None:
+    """Deletes a table that ``store`` wrote and nothing reads any more."""
+    if not path.startswith(shared_dir(spark) + "/"):
+        raise ValueError("only tables in the shared folder are deleted")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: computed once, and safe from lost executors."""
+    return store(df)[0]

@@ -203,7 +203,7 @@ def test_grid_and_pairs(homes):
 def test_nominal_codes_count_on_across_partitions(spark):
     df = spark.range(5000).selectExpr("concat('k', lpad(id, 5, '0')) as t", "concat('m', lpad(id % 700, 5, '0')) as u", "id")
     levels = df.select("t", "u").unpivot([], ["t", "u"], "column", "level").distinct().repartition(7)
-    counted = encoding._numbered(levels).groupBy("column").agg(F.min("at"), F.max("at"), F.countDistinct("at"), F.count("at"))
+    counted = encoding.numbered_levels(levels).groupBy("column").agg(F.min("at"), F.max("at"), F.countDistinct("at"), F.count("at"))
     assert sorted(tuple(r) for r in counted.collect()) == [("t", 0, 4999, 5000, 5000), ("u", 0, 699, 700, 700)]
     out = encoding.nominal_encode(df, ["t", "u"])
     assert out.where("t_code <> id or u_code <> id % 700").count() == 0 and out.count() == 5000

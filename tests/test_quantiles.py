@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gablestat.operators import quantiles as Q
 from gablestat.operators.quantiles import column_quantiles, medians, nth_smallest, quantiles
+from gablestat.session import store
 
 PROBS = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
 
@@ -32,8 +34,10 @@ def cases():
     yield "neighbours", list(np.nextafter(1.0, 2.0) + np.arange(2000) * 2.220446049250313e-16)
 
 
+@pytest.mark.parametrize("few", [Q.FEW_COUNTS, 0])
 @pytest.mark.parametrize("name, values", list(cases()), ids=[n for n, _ in cases()])
-def test_matches_interpolated_quantiles(spark, name, values):
+def test_matches_interpolated_quantiles(spark, monkeypatch, name, values, few):
+    monkeypatch.setattr(Q, "FEW_COUNTS", few)
     got = one_group(spark, values)
     want = np.quantile(np.array(values), PROBS)
     assert got == pytest.approx(list(want), rel=1e-12, abs=0.0 if name == "subnormal" else 1e-300)
@@ -101,16 +105,51 @@ def test_nth_smallest(spark):
     assert got == {"a": (10, 7.0), "b": (10, 7.0)}
 
 
-def test_scans_read_only_key_and_value(spark, tmp_path):
+def test_two_reads_of_key_and_value_alone(spark, tmp_path):
     path = str(tmp_path / "t")
     wide = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"), F.lit("pad").alias("rest"))
     wide.write.parquet(path)
-    out = quantiles(spark.read.parquet(path), "x", [0.5], ["g"], bounded_groups=True)
-    out.collect()
-    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-    schemas = [line.split("ReadSchema: ")[1].strip() for line in text.splitlines() if "ReadSchema" in line]
-    assert schemas and set(schemas) == {"struct<g:bigint,x:double>"}
-    assert "SortMergeJoin" not in text
+    rows = Q.numbers(spark.read.parquet(path), "x", ["g"])
+
+    def scans(df):
+        text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "SortMergeJoin" not in text
+        return [line.split("ReadSchema: ")[1].strip() for line in text.splitlines() if "ReadSchema" in line]
+
+    targets = [lambda total: F.floor(total / 2)]
+    state = Q.sketched(rows, ["g"])
+    assert scans(state) == ["struct<g:bigint,x:double>"]
+    stored, _ = store(state)
+    second = Q.bracketed(rows, ["g"], Q._brackets(stored, targets, [(0, 0)], Q.SLACK), True)
+    second.collect()
+    assert [s for s in scans(second) if s.startswith("struct<g:")] == ["struct<g:bigint,x:double>"]
+    # what the call gives reads stored counts, never the rows again
+    assert all("x:double" not in s for s in scans(quantiles(spark.read.parquet(path), "x", [0.5], ["g"])))
+
+
+def test_second_read_keeps_few_values(spark):
+    df = spark.range(400000).select((F.col("id") * 7919 % 400009).cast("double").alias("v"))
+    state, _ = store(Q.sketched(df, []))
+
+    targets = [lambda total: F.floor(total / 2)]
+    kept = Q.bracketed(df, [], Q._brackets(state, targets, [(0, 0)], Q.SLACK), True)
+    assert kept.count() < 400000 * 0.02 and kept.agg(F.sum("n")).first()[0] == 400000
+
+
+def test_a_bracket_that_misses_is_widened(spark, monkeypatch):
+    values = np.random.default_rng(1).lognormal(3, 2, 30000)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
+    # brackets far from the ranks: all of them miss until they are wide enough
+    calls = []
+    true = Q._brackets
+
+    def shifted(state, targets, spans, slack):
+        calls.append(slack)
+        return true(state, [lambda total: F.lit(0)] * len(targets), spans, slack)
+
+    monkeypatch.setattr(Q, "_brackets", shifted)
+    assert tuple(quantiles(df, "x", [0.25, 0.9]).first()) == pytest.approx(tuple(np.quantile(values, [0.25, 0.9])))
+    assert len(calls) > 1
 
 
 def test_hot_value_settles_in_its_bucket(spark):
