@@ -6,13 +6,14 @@ statistic of a test meets a distribution function.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gablestat.functions.columns import decision
 from gablestat.functions.probability import f_tail, range_critical, range_tail, t_tail
+from gablestat.session import cut_lineage
 
 
 def welch_t(
@@ -27,7 +28,11 @@ def welch_t(
     for i, g in ((1, g1), (2, g2)):
         mine = F.when(F.col(group) == F.lit(g), x)
         aggs += [F.count(mine).alias(f"n{i}"), F.avg(mine).alias(f"mean{i}"), F.var_samp(mine).alias(f"var{i}")]
-    moments = df.agg(*aggs)
+    return _welch(df.agg(*aggs), alternative, alpha)
+
+
+def _welch(moments: DataFrame, alternative: str, alpha: float) -> DataFrame:
+    """The finished test of one row ``n1 mean1 var1 n2 mean2 var2``."""
     se1, se2 = F.try_divide("var1", "n1"), F.try_divide("var2", "n2")
     out = moments.withColumns({"__a": se1, "__b": se2}).withColumns(
         {
@@ -62,6 +67,40 @@ def group_moments(df: DataFrame, value: str, group: str, min_n: int = 1) -> Data
     )
 
 
+def moment_table(df: DataFrame, groupings: Mapping[str, Column], values: Sequence[str]) -> DataFrame:
+    """``(grouping, level, value, n, mean, var)`` for every level of several groupings, from one read.
+
+    A grouping is an expression whose text names a row's level; rows where it is missing take no part in it. The
+    grouping sets combine before the shuffle, so a level that most rows share is no burden.
+    """
+    names = list(groupings)
+    rows = df.select(*[g.cast("string").alias(f"g_{n}") for n, g in groupings.items()], *[F.col(v).cast("double").alias(v) for v in values])
+    figures = [F.struct(F.lit(v).alias("value"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_samp(v).alias("var")).alias(f"v_{v}") for v in values]
+    found = rows.groupingSets([[f"g_{n}"] for n in names], *[f"g_{n}" for n in names]).agg(
+        *figures, *[F.grouping(f"g_{n}").alias(f"s_{n}") for n in names])
+    which = F.coalesce(*[F.when(F.col(f"s_{n}") == 0, F.lit(n)) for n in names])
+    level = F.coalesce(*[F.col(f"g_{n}") for n in names])
+    tall = found.select(which.alias("grouping"), level.alias("level"), F.inline(F.array(*[f"v_{v}" for v in values])))
+    return tall.where(F.col("level").isNotNull())
+
+
+def welch_from(moments: DataFrame, grouping: str, value: str, g1: str, g2: str, alternative: str = "two.sided", alpha: float = 0.05) -> DataFrame:
+    """``welch_t`` of two levels of a moment table."""
+    own = moments.where((F.col("grouping") == grouping) & (F.col("value") == value))
+    picks = []
+    for i, g in ((1, g1), (2, g2)):
+        mine = F.col("level") == g
+        picks += [F.coalesce(F.max(F.when(mine, F.col("n"))), F.lit(0)).alias(f"n{i}"),
+                  F.max(F.when(mine, F.col("mean"))).alias(f"mean{i}"), F.max(F.when(mine, F.col("var"))).alias(f"var{i}")]
+    return _welch(own.agg(*picks), alternative, alpha)
+
+
+def anova_from(moments: DataFrame, grouping: str, value: str, min_n: int = 1, alpha: float = 0.05) -> DataFrame:
+    """``anova_oneway`` of a moment table."""
+    own = moments.where((F.col("grouping") == grouping) & (F.col("value") == value) & (F.col("n") >= max(min_n, 1)))
+    return _anova(own, alpha)
+
+
 def _variance_table(moments: DataFrame) -> DataFrame:
     grand = moments.agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("m")).scalar()
     gap = F.col("mean") - grand
@@ -74,8 +113,12 @@ def _variance_table(moments: DataFrame) -> DataFrame:
 
 
 def anova_oneway(df: DataFrame, value: str, group: str, min_n: int = 1, alpha: float = 0.05) -> DataFrame:
-    """One row: sums of squares, degrees of freedom, F, p and decision."""
-    table = _variance_table(group_moments(df, value, group, min_n))
+    """One row: sums of squares, degrees of freedom, F, p and decision. The rows are read once, for their moments."""
+    return _anova(cut_lineage(group_moments(df, value, group, min_n)), alpha)
+
+
+def _anova(moments: DataFrame, alpha: float) -> DataFrame:
+    table = _variance_table(moments)
     ratio = F.try_divide(
         F.try_divide("ss_between", "df_between"), F.try_divide("ss_within", "df_within")
     )
@@ -86,20 +129,38 @@ def anova_oneway(df: DataFrame, value: str, group: str, min_n: int = 1, alpha: f
     )
 
 
+#: Group means of one block of pairs.
+BLOCK = 1000
+
+
+def pairs_of(means: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """``(a, b)``: every pair of rows with ``a.key < b.key``, as structs.
+
+    Rows are dealt to blocks by a hash, and every pair of blocks meets in one task, so a task holds two blocks however many
+    rows there are.
+    """
+    blocks = max(1, -(-means.count() // block))
+    dealt = means.select(F.struct(*means.columns).alias("r"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("own"))
+    spread = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    left = spread.where("own <= other").select(F.col("own").alias("p"), F.col("other").alias("q"), F.col("r").alias("x"))
+    right = spread.where("other <= own").select(F.col("other").alias("p"), F.col("own").alias("q"), F.col("r").alias("y"))
+    met = left.join(right, ["p", "q"]).where((F.col("p") < F.col("q")) | (F.col("x")[key] < F.col("y")[key]))
+    ordered = F.col("x")[key] < F.col("y")[key]
+    return met.select(F.when(ordered, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(ordered, F.col("y")).otherwise(F.col("x")).alias("b"))
+
+
 def tukey_hsd(df: DataFrame, value: str, group: str, min_n: int = 1, confidence: float = 0.95) -> DataFrame:
     """``(group1, group2, diff, lower, upper, p_adj)`` for every pair of group means, group1 < group2.
 
     The pairs are over the finished group means, not over rows; diff is mean2 - mean1.
     """
-    moments = group_moments(df, value, group, min_n)
+    moments = cut_lineage(group_moments(df, value, group, min_n))
     table = _variance_table(moments).select(
         F.struct(
             "groups", "df_within", F.try_divide("ss_within", "df_within").alias("mse")
         ).alias("t")
     ).scalar()
-    means = F.sort_array(F.collect_list(F.struct("group", "n", "mean"))).alias("m")
-    first = moments.agg(means).select("m", F.posexplode("m").alias("i", "a"))
-    pairs = first.select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
+    pairs = pairs_of(moments.select("group", "n", "mean"), "group")
     noise = F.sqrt(F.col("mse") / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
     out = pairs.select(
         F.col("a.group").alias("group1"), F.col("b.group").alias("group2"),

@@ -1,15 +1,16 @@
 """Ordinary least squares from sufficient statistics.
 
-One pass aggregates counts, means and covariances of the numeric variables per
-combination of category levels. Those few rows hold everything a least-squares fit
-needs: treatment-coded dummies are never materialised, and the k x k solve happens on
-the aggregated rows of one model. Covariances come from Spark's merging update
-formula, so money-sized values do not cancel.
+One pass aggregates counts, means and covariances of the numeric variables over blocks: all rows, the rows of each
+category level, and those of each pair of levels of two categorical variables. They hold every entry of the cross-product
+matrix of a least-squares fit, of which a level fills few: treatment-coded dummies are never materialised, and the
+solving task gets one row per pair of levels that occurs, not one per combination of all categorical variables. Covariances
+come from Spark's merging update formula, so money-sized values do not cancel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -50,35 +51,73 @@ def _solve(scatter: np.ndarray, moment: np.ndarray, tolerance: float = 1e-10):
     return beta, inverse, kept
 
 
+def _cross_products(rows: pd.DataFrame, size: int, categorical: Sequence[str], levels: Mapping[str, Sequence[str]]):
+    """Total, centre and centred cross products of numeric variables and dummies, the target last.
+
+    ``rows`` are blocks: without a level, with one, or with a pair of levels of two variables.
+    """
+    given = rows[list(categorical)].notna().sum(axis=1) if categorical else pd.Series(0, index=rows.index)
+    whole = rows[given == 0].iloc[0]
+    total = float(whole["n"])
+    middle = np.array([whole[f"m_{i}"] for i in range(size)], dtype=float)
+    places = {(c, v): size - 1 + k for k, (c, v) in enumerate((c, v) for c in categorical for v in levels[c])}
+    width = size + len(places)
+    target = width - 1
+    numeric = [*range(size - 1), target]
+    center, scatter = np.zeros(width), np.zeros((width, width))
+    center[numeric] = middle
+    for i in range(size):
+        for j in range(i, size):
+            scatter[numeric[i], numeric[j]] = scatter[numeric[j], numeric[i]] = total * float(whole[f"c_{i}_{j}"])
+    counts = np.zeros(width)
+    for c in categorical:
+        for row in rows[(given == 1) & rows[c].notna()].to_dict("records"):
+            at = places.get((c, row[c]))
+            if at is None:
+                continue
+            counts[at] = row["n"]
+            center[at] = row["n"] / total
+            for i in range(size):
+                gap = row["n"] * (row[f"m_{i}"] - middle[i])
+                scatter[at, numeric[i]] = scatter[numeric[i], at] = gap
+    dummies = list(places.values())
+    for at in dummies:
+        for other in dummies:
+            scatter[at, other] = -counts[at] * counts[other] / total
+        scatter[at, at] += counts[at]
+    for row in rows[given == 2].to_dict("records"):
+        (c, v), (d, w) = [(c, row[c]) for c in categorical if isinstance(row[c], str)]
+        if (c, v) in places and (d, w) in places:
+            at, other = places[c, v], places[d, w]
+            scatter[at, other] += row["n"]
+            scatter[other, at] += row["n"]
+    return total, center, scatter
+
+
+def _with_whole(levels: pd.DataFrame, size: int, category: str) -> pd.DataFrame:
+    """The blocks of levels and the one of all their rows."""
+    n = levels["n"].to_numpy(float)
+    means = levels[[f"m_{i}" for i in range(size)]].to_numpy(float)
+    middle = n @ means / n.sum()
+    whole = {**levels.iloc[0].to_dict(), category: None, "n": n.sum(), **{f"m_{i}": middle[i] for i in range(size)}}
+    for i in range(size):
+        for j in range(i, size):
+            between = n @ ((means[:, i] - middle[i]) * (means[:, j] - middle[j]))
+            whole[f"c_{i}_{j}"] = (n @ levels[f"c_{i}_{j}"].to_numpy(float) + between) / n.sum()
+    return pd.concat([levels, pd.DataFrame([whole])], ignore_index=True)
+
+
 def _fit(rows: pd.DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], ref: Mapping[str, str]):
-    names = [*numeric, y]
-    size = len(names)
-    weight = rows["n"].to_numpy(float)
-    total = weight.sum()
-    means = rows[[f"m_{i}" for i in range(size)]].to_numpy(float)
-    terms, dummies = list(numeric), []
+    size = len(numeric) + 1
+    terms, levels = list(numeric), {}
     for c in categorical:
-        found = sorted(rows[c].unique())
+        found = sorted(rows[c].dropna().unique())
         base = ref.get(c, found[0])
         if base not in found:
             raise ValueError(f"reference level {base!r} of {c} has no rows")
-        for level in found:
-            if level != base:
-                terms.append(f"{c}{level}")
-                dummies.append((rows[c] == level).to_numpy(float))
-    # Order of the stacked vector: numeric predictors, dummies, target.
-    blocks = [means[:, i] for i in range(size - 1)] + dummies + [means[:, size - 1]]
-    stacked = np.column_stack(blocks)
-    center = weight @ stacked / total
-    spread = stacked - center
-    scatter = spread.T @ (spread * weight[:, None])
-    place = [*range(size - 1), stacked.shape[1] - 1]
-    for i in range(size):
-        for j in range(i, size):
-            within = float(weight @ rows[f"c_{i}_{j}"].to_numpy(float))
-            scatter[place[i], place[j]] += within
-            if i != j:
-                scatter[place[j], place[i]] += within
+        levels[c] = [v for v in found if v != base]
+        terms += [f"{c}{v}" for v in levels[c]]
+    total, center, scatter = _cross_products(rows, size, categorical, levels)
     xx, xy, yy = scatter[:-1, :-1], scatter[:-1, -1], scatter[-1, -1]
     beta, inverse, kept = _solve(xx, xy)
     used = np.nan_to_num(beta)
@@ -108,14 +147,18 @@ def ols(
     categorical: Sequence[str] = (),
     ref: Mapping[str, str] | None = None,
     by: Sequence[str] = (),
+    min_level_n: int = 1,
 ) -> DataFrame:
     """Coefficient table ``(by..., position, term, estimate, std_error, t_value, p_value, n, r2, ...)``.
 
     Rows with a missing model variable are left out. Each categorical variable enters as
     one dummy per level other than its reference (``ref``, default the first level). A
-    column that earlier columns determine keeps its row, without an estimate.
+    column that earlier columns determine keeps its row, without an estimate. With one
+    categorical variable, ``min_level_n`` leaves out the rows of levels with fewer rows, from their blocks alone.
     """
     ref, by, categorical = dict(ref or {}), list(by), list(categorical)
+    if min_level_n > 1 and len(categorical) != 1:
+        raise ValueError("levels are left out by their size with one categorical variable only")
     names = [*numeric, y]
     rows = df.select(
         *by, *[F.col(c).cast("string").alias(c) for c in categorical], *[F.col(c).cast("double").alias(c) for c in names]
@@ -126,13 +169,19 @@ def ols(
         for j in range(i, len(names)):
             pair = F.var_pop(names[i]) if i == j else F.covar_pop(names[i], names[j])
             aggs.append(pair.alias(f"c_{i}_{j}"))
-    moments = rows.groupBy(*by, *categorical).agg(*aggs)
+    if min_level_n > 1:
+        # the blocks of the levels that stay make up the block of all rows
+        moments = rows.groupBy(*by, *categorical).agg(*aggs).where(F.col("n") >= min_level_n)
+    else:
+        blocks = [[], *[[c] for c in categorical], *[list(pair) for pair in combinations(categorical, 2)]]
+        moments = rows.groupingSets([[*by, *block] for block in blocks], *by, *categorical).agg(*aggs)
     types = dict(rows.dtypes)
     schema = ", ".join([f"`{b}` {types[b]}" for b in by] + [_RESULT])
     columns = [*by, *[part.split()[0] for part in _RESULT.split(", ")]]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         head = tuple(pdf[b].iloc[0] for b in by)
+        pdf = _with_whole(pdf, len(names), categorical[0]) if min_level_n > 1 else pdf
         fitted = _fit(pdf, y, numeric, categorical, ref)
         table = pd.DataFrame([(*head, *row) for row in fitted], columns=columns)
         return table.astype(object).where(table.notna(), None)

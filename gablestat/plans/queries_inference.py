@@ -10,6 +10,7 @@ from gablestat.operators.quantiles import medians
 from gablestat.plans.binding import NEW, OLD, assessments
 from gablestat.plans.catalog import over_view, register
 from gablestat.plans.cleaning import clean_for_tests
+from gablestat.session import cut_lineage
 
 _COLUMNS = ["fiscal_year", "total_value", "gross_tax", "living_area", "land_sf", "yr_built", "bldg_type", "own_occ", "bed_rms"]
 _TESTED = (
@@ -216,6 +217,52 @@ _REPORT_SQL = " UNION ALL ".join(
 
 @register("h9_hypothesis_report", over_view(_REPORT_SQL, _TESTED, *_REPORT_CTES, *_ANOVA))
 def h9(spark, folder):
-    results = {label: _WELCH[key][0](spark, folder) for label, key in _REPORT.items()}
-    results["ANOVA: Building type affects value"] = _h7(spark, folder)
+    new = F.col("fiscal_year") == NEW
+    groupings = {
+        "snapshot": F.col("fiscal_year"),
+        "bedrooms": F.when(new & C.between_closed("bed_rms", 1, 8), C.two_group("bed_rms", 3, "3+ bedrooms", "< 3 bedrooms")),
+        "owner": F.when(new & F.col("own_occ").isin("Y", "N"), F.col("own_occ")),
+        "type": F.when(new, F.col("bldg_type_clean")),
+    }
+    table = cut_lineage(I.moment_table(_pair(spark, folder), groupings, ["total_value", "gross_tax", "tax_to_value_ratio"]))
+    old, now = str(OLD), str(NEW)
+    tests = [
+        ("snapshot", "total_value", old, now, "two.sided"), ("snapshot", "gross_tax", old, now, "less"),
+        ("bedrooms", "total_value", "3+ bedrooms", "< 3 bedrooms", "greater"), ("owner", "total_value", "N", "Y", "two.sided"),
+        ("snapshot", "tax_to_value_ratio", old, now, "less"),
+    ]
+    results = {label: I.welch_from(table, *test) for label, test in zip(_REPORT, tests)}
+    results["ANOVA: Building type affects value"] = I.anova_from(table, "type", "total_value", min_n=200)
     return I.hypothesis_report(results)
+
+
+# The critical value by halving an interval, the coverage of each middle integrated as for the p-values.
+_PHI = (
+    "(CASE WHEN {x} <= -8.5 THEN 0 ELSE 0.5 + sign({x}) * exp(-0.5 * {x} * {x}) / sqrt(2 * pi()) * "
+    "list_sum(list_transform(range(120), lambda m: exp((2 * m + 1) * ln(abs({x}) + 1e-300) - ((m + 1) * ln(2) + lgamma(m + 1.5) - 0.5 * ln(pi()))))) END)"
+)
+_CRITICAL = [
+    f"zp AS MATERIALIZED (SELECT z, wz, {_PHI.format(x='z')} AS hi FROM zz)",
+    "bis(it, lo, up) AS (SELECT 0, 0.0::DOUBLE, 16.0::DOUBLE UNION ALL SELECT it + 1, CASE WHEN inside < 0.95 THEN mid ELSE lo END, "
+    "CASE WHEN inside < 0.95 THEN up ELSE mid END FROM (SELECT it, any_value(lo) AS lo, any_value(up) AS up, any_value(mid) AS mid, "
+    "sum(ws / (SELECT sum(ws) FROM sw) * k * wz * pow(greatest(hi - " + _PHI.format(x="(z - mid * s)") + ", 0), k - 1)) AS inside "
+    "FROM (SELECT it, lo, up, (lo + up) / 2 AS mid FROM bis WHERE it < 34), zp, sw, (SELECT groups AS k FROM af) GROUP BY it))",
+    "cv AS (SELECT (lo + up) / 2 AS c FROM bis WHERE it = 34)",
+]
+
+
+@register(
+    "h8_tukey_bounds",
+    over_view(
+        "SELECT group1, group2, round(c, 4) AS critical, sign(diff - c * noise) AS lower_sign, sign(diff + c * noise) AS upper_sign, "
+        "CAST(round((diff + c * noise) / 10) AS BIGINT) AS upper_tens FROM (SELECT *, abs(diff) / q AS noise FROM u), cv",
+        _TESTED, *_ANOVA, *[c for c in _TUKEY if c.split(" ")[0] in ("u", "zz", "ss", "sw")], *_CRITICAL,
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def h8_bounds(spark, folder):
+    """The bounds of the intervals against a critical value that SQL finds by itself."""
+    out = I.tukey_hsd(_current(spark, folder), "total_value", "bldg_type_clean", min_n=200)
+    noise = F.abs("diff") / F.col("q")
+    return out.select(
+        "group1", "group2", F.round((F.col("upper") - F.col("diff")) / noise, 4).alias("critical"), F.signum("lower").alias("lower_sign"),
+        F.signum("upper").alias("upper_sign"), F.round(F.col("upper") / 10).cast("bigint").alias("upper_tens"))

@@ -184,9 +184,7 @@ _TYPED = ("term", "estimate", "std_error", "t_value", "p_value", "n", "r2", "adj
 
 
 def _typed(spark, folder, ref):
-    rows = _rows(spark, folder, (NEW,))
-    kept = groups.keep_categories(rows, "bldg_type_clean", groups.top_categories(rows, "bldg_type_clean", min_n=200))
-    return R.ols(kept, _Y, _SEVEN, ["bldg_type_clean"], {"bldg_type_clean": ref})
+    return R.ols(_rows(spark, folder, (NEW,)), _Y, _SEVEN, ["bldg_type_clean"], {"bldg_type_clean": ref}, min_level_n=200)
 
 
 @register("r3_type_dummies", over_view(_pick(*_TYPED) + " FROM coef", _MODELED, _FREQUENT, *ols_sql("qt", _Y, _type_terms("STANDARD"))))
@@ -194,6 +192,32 @@ def r3(spark, folder):
     return _rounded(_typed(spark, folder, "STANDARD"), *_TYPED)
 
 
+# City and ZIP in coarse bands, since SQL clears one dummy after the other.
+_PLACE_COLUMNS = [*_COLUMNS, "city", "zip_code"]
+_PLACED = (
+    "qp AS (SELECT ln(total_value) AS log_total_value, ln(living_area) AS log_living_area, fiscal_year - yr_built AS age_of_property, "
+    "regexp_replace(bldg_type, '^.* - ', '') AS bldg_type_clean, CASE WHEN city < 'G' THEN 'A-F' WHEN city < 'N' THEN 'G-M' ELSE 'N-Z' END AS city_band, "
+    f"CAST(CAST(zip_code AS INTEGER) % 4 AS VARCHAR) AS zip_band FROM a WHERE fiscal_year = {NEW} AND total_value > 0 "
+    f"AND gross_tax > 0 AND living_area > 0 AND land_sf > 0 AND yr_built > 1700 AND yr_built <= {NEW} AND bed_rms BETWEEN 0 AND 10 AND full_bth BETWEEN 0 AND 8)"
+)
+_PLACE_TERMS = {
+    "log_living_area": "log_living_area", "age_of_property": "age_of_property",
+    **{f"bldg_type_clean{v}": f"CASE WHEN bldg_type_clean = '{v}' THEN 1 ELSE 0 END" for v in _TYPES[1:]},
+    **{f"city_band{v}": f"CASE WHEN city_band = '{v}' THEN 1 ELSE 0 END" for v in ("G-M", "N-Z")},
+    **{f"zip_band{v}": f"CASE WHEN zip_band = '{v}' THEN 1 ELSE 0 END" for v in "123"},
+}
+
+
+@register("r3_type_city_and_zip", over_view(_pick(*_TYPED) + " FROM coef", _PLACED, *ols_sql("qp", _Y, _PLACE_TERMS)))
+def r3_places(spark, folder):
+    rows = clean_for_regression(assessments(spark, folder, _PLACE_COLUMNS, (NEW,)), NEW)
+    rows = rows.withColumns({
+        "city_band": F.when(F.col("city") < "G", "A-F").when(F.col("city") < "N", "G-M").otherwise("N-Z"),
+        "zip_band": (F.col("zip_code").cast("int") % 4).cast("string"),
+    })
+    return _rounded(R.ols(rows, _Y, ["log_living_area", "age_of_property"], ["bldg_type_clean", "city_band", "zip_band"]), *_TYPED)
+
+
 @register("r7_other_reference_level", over_view(_pick(*_TYPED) + " FROM coef", _MODELED, _FREQUENT, *ols_sql("qt", _Y, _type_terms("PROMO"))))
 def r7(spark, folder):
     return _rounded(_typed(spark, folder, "PROMO"), *_TYPED)
