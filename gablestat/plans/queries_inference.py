@@ -264,5 +264,5 @@ def h8_bounds(spark, folder):
     out = I.tukey_hsd(_current(spark, folder), "total_value", "bldg_type_clean", min_n=200)
     noise = F.abs("diff") / F.col("q")
     return out.select(
-        "group1", "group2", F.round((F.col("upper") - F.col("diff")) / noise, 4).alias("critical"), F.signum("lower").alias("lower_sign"),
-        F.signum("upper").alias("upper_sign"), F.round(F.col("upper") / 10).cast("bigint").alias("upper_tens"))
+        "group1", "group2", F.round((F.col("upper") - F.col("diff")) / noise, 4).alias("critical"), F.signum("lower").cast("tinyint").alias("lower_sign"),
+        F.signum("upper").cast("tinyint").alias("upper_sign"), F.round(F.col("upper") / 10).cast("bigint").alias("upper_tens"))

@@ -145,14 +145,14 @@ def _rank_sql(c: str) -> str:
         "coalesce(c.code, (SELECT code FROM c WHERE level = (SELECT city FROM old WHERE city IS NOT NULL GROUP BY city ORDER BY count(*) DESC, city LIMIT 1)))::DOUBLE AS city, "
         "coalesce(o.code, (SELECT code FROM o WHERE level = (SELECT own_occ FROM old GROUP BY own_occ ORDER BY count(*) DESC, own_occ LIMIT 1)))::DOUBLE AS own_occ "
         "FROM new LEFT JOIN c ON c.level = city LEFT JOIN o ON o.level = own_occ",
-        f"old AS (SELECT * REPLACE (CASE WHEN city < 'S' THEN city END AS city) FROM a WHERE fiscal_year = {OLD})", f"new AS (SELECT * FROM a WHERE fiscal_year = {NEW})",
+        f"old AS (SELECT * REPLACE (CASE WHEN city < 'NATION_3' THEN city END AS city) FROM a WHERE fiscal_year = {OLD})", f"new AS (SELECT * FROM a WHERE fiscal_year = {NEW})",
         "c AS (SELECT city AS level, row_number() OVER (ORDER BY city) AS code FROM (SELECT DISTINCT city FROM old WHERE city IS NOT NULL))",
         "o AS (SELECT own_occ AS level, row_number() OVER (ORDER BY own_occ) AS code FROM (SELECT DISTINCT own_occ FROM old))",
     ),
 )
 def stored_preparation(spark, folder):
     """The later snapshot's rows by what was learned on the earlier one, whose last cities it has not seen."""
-    old = assessments(spark, folder, ["record_id", *_PREPARED], (OLD,)).withColumn("city", F.when(F.col("city") < "S", F.col("city")))
+    old = assessments(spark, folder, ["record_id", *_PREPARED], (OLD,)).withColumn("city", F.when(F.col("city") < "NATION_3", F.col("city")))
     ordered = {"overall_cond": levels.MODEL_ORDINAL_LEVELS["overall_cond"]}
     path = fresh_path(spark, "preparation")
     RollPreparation(["living_area", "bed_rms"], ordered, ["city", "own_occ"]).fit(old).save(path)

@@ -196,14 +196,14 @@ def r3(spark, folder):
 _PLACE_COLUMNS = [*_COLUMNS, "city", "zip_code"]
 _PLACED = (
     "qp AS (SELECT ln(total_value) AS log_total_value, ln(living_area) AS log_living_area, fiscal_year - yr_built AS age_of_property, "
-    "regexp_replace(bldg_type, '^.* - ', '') AS bldg_type_clean, CASE WHEN city < 'G' THEN 'A-F' WHEN city < 'N' THEN 'G-M' ELSE 'N-Z' END AS city_band, "
+    "regexp_replace(bldg_type, '^.* - ', '') AS bldg_type_clean, CASE WHEN city < 'NATION_16' THEN 'A' WHEN city < 'NATION_3' THEN 'B' ELSE 'C' END AS city_band, "
     f"CAST(CAST(zip_code AS INTEGER) % 4 AS VARCHAR) AS zip_band FROM a WHERE fiscal_year = {NEW} AND total_value > 0 "
     f"AND gross_tax > 0 AND living_area > 0 AND land_sf > 0 AND yr_built > 1700 AND yr_built <= {NEW} AND bed_rms BETWEEN 0 AND 10 AND full_bth BETWEEN 0 AND 8)"
 )
 _PLACE_TERMS = {
     "log_living_area": "log_living_area", "age_of_property": "age_of_property",
     **{f"bldg_type_clean{v}": f"CASE WHEN bldg_type_clean = '{v}' THEN 1 ELSE 0 END" for v in _TYPES[1:]},
-    **{f"city_band{v}": f"CASE WHEN city_band = '{v}' THEN 1 ELSE 0 END" for v in ("G-M", "N-Z")},
+    **{f"city_band{v}": f"CASE WHEN city_band = '{v}' THEN 1 ELSE 0 END" for v in "BC"},
     **{f"zip_band{v}": f"CASE WHEN zip_band = '{v}' THEN 1 ELSE 0 END" for v in "123"},
 }
 
@@ -212,7 +212,7 @@ _PLACE_TERMS = {
 def r3_places(spark, folder):
     rows = clean_for_regression(assessments(spark, folder, _PLACE_COLUMNS, (NEW,)), NEW)
     rows = rows.withColumns({
-        "city_band": F.when(F.col("city") < "G", "A-F").when(F.col("city") < "N", "G-M").otherwise("N-Z"),
+        "city_band": F.when(F.col("city") < "NATION_16", "A").when(F.col("city") < "NATION_3", "B").otherwise("C"),
         "zip_band": (F.col("zip_code").cast("int") % 4).cast("string"),
     })
     return _rounded(R.ols(rows, _Y, ["log_living_area", "age_of_property"], ["bldg_type_clean", "city_band", "zip_band"]), *_TYPED)
