@@ -52,12 +52,12 @@ CONDITION_SYNONYMS = {
     "P - Poor": ["VP - Very Poor", "P - Poor", "US - Unsound"],
 }
 
+# The levels of heat_fuel are no ranks, and it is another column than heat_system.
 # Header names that changed between snapshots, old name to current name.
 HEADER_ALIASES = {
     "zipcode": "zip_code",
     "kitchen": "kitchens",
     "fire_place": "fireplaces",
-    "heat_fuel": "heat_system",
 }
 LATE_COLUMNS = ["sfyi_value", "corner_unit"]
 

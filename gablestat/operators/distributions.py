@@ -175,6 +175,12 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.select("n", F.explode(F.array(*cells)).alias("c")).select("c.x", "c.y", "c.r", "n")
 
 
+def correlates(matrix: DataFrame, target: str) -> DataFrame:
+    """``(variable, r)`` of all other columns with the target, by absolute r, largest first; one row for each column."""
+    others = matrix.filter((F.col("x") == target) & (F.col("y") != target) & F.col("r").isNotNull())
+    return others.select(F.col("y").alias("variable"), "r").orderBy(F.abs("r").desc(), "variable")
+
+
 def strongest_correlate(matrix: DataFrame, target: str, absolute: bool = False) -> DataFrame:
     """One row: the column most correlated with the target, by signed or absolute r."""
     rank = F.abs("r") if absolute else F.col("r")

@@ -211,6 +211,10 @@ _ALL = ["pid", "fiscal_year", "city", "bldg_type", "yr_built", "own_occ", "bed_r
         "total_value", "land_value", "bldg_value", "living_area", "land_sf", "gross_tax"]
 
 
+# What the cleaning reads; text that nothing reads is not parsed or stored.
+_READ = ["fiscal_year", "city", "bldg_type", "yr_built", "total_value", "land_value", "bldg_value", "living_area", "land_sf", "gross_tax"]
+
+
 @register(
     "c1_clean_for_comparison",
     over_view(
@@ -222,7 +226,7 @@ _ALL = ["pid", "fiscal_year", "city", "bldg_type", "yr_built", "own_occ", "bed_r
 )
 def c1(spark, folder):
     # Text is parsed once and kept typed: the fences read it several times.
-    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _ALL, (OLD, NEW))))
+    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _READ, (OLD, NEW))))
     rows = clean_for_comparison(typed, NEW)
     return rows.groupBy("fiscal_year", "city_clean", "bldg_type_clean").agg(
         F.count(F.lit(1)).alias("n"), exact_sum(F.col("total_value")).alias("total_value"),
@@ -272,8 +276,8 @@ def c3(spark, folder):
     ),
 )
 def w1_top(spark, folder):
-    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _ALL, (OLD, NEW))))
-    rows = cut_lineage(clean_for_comparison(typed, NEW))
+    typed = cut_lineage(parse_roll(dirty_assessments(spark, folder, _READ, (OLD, NEW))))
+    rows = cut_lineage(clean_for_comparison(typed, NEW).select("fiscal_year", "bldg_type_clean"))
     top = groups.top_categories(rows.filter(F.col("fiscal_year") == NEW), "bldg_type_clean", n=4)
     out = groups.share_within(groups.keep_categories(rows, "bldg_type_clean", top, at_most=4), ["fiscal_year"], "bldg_type_clean")
     return out.withColumn("pct", F.round("pct", 9))

@@ -160,6 +160,27 @@ def stored_preparation(spark, folder):
     return RollPreparationModel.load(spark, path).transform(new).select("record_id", *_PREPARED)
 
 
+@register(
+    "a23_prepared_by_strength",
+    over_view(
+        " UNION ALL ".join(f"SELECT '{c}' AS variable, round(corr({e}, total_value), 8) AS r FROM e" for c, e in (
+            ("living_area", "living_area"), ("bed_rms", "bed"), ("overall_cond", "cond"), ("city", "c.code"), ("own_occ", "o.code"))).replace(
+            "FROM e", "FROM e JOIN c ON c.level = city JOIN o ON o.level = own_occ"),
+        f"e AS (SELECT a.*, coalesce(bed_rms, (SELECT median(bed_rms) FROM a)) AS bed, coalesce({_rank_sql('overall_cond')}, "
+        f"(SELECT r FROM (SELECT {_rank_sql('overall_cond')} AS r FROM a) WHERE r IS NOT NULL GROUP BY r ORDER BY count(*) DESC, r::VARCHAR LIMIT 1)) AS cond FROM a)",
+        "c AS (SELECT city AS level, row_number() OVER (ORDER BY city) AS code FROM (SELECT DISTINCT city FROM a))",
+        "o AS (SELECT own_occ AS level, row_number() OVER (ORDER BY own_occ) AS code FROM (SELECT DISTINCT own_occ FROM a))",
+    ),
+)
+def prepared_by_strength(spark, folder):
+    """Correlation of every prepared column with the target, strongest first whatever its sign."""
+    rows = assessments(spark, folder, ["total_value", *_PREPARED])
+    ordered = {"overall_cond": levels.MODEL_ORDINAL_LEVELS["overall_cond"]}
+    ready = cut_lineage(RollPreparation(["living_area", "bed_rms"], ordered, ["city", "own_occ"]).fit(rows).transform(rows))
+    matrix = distributions.corr_matrix(ready, ["total_value", *_PREPARED])
+    return distributions.correlates(matrix, "total_value").select("variable", F.round("r", 8).alias("r"))
+
+
 @register("m8_decision_tree")
 def m8(spark, folder):
     train, test, _ = _prepared(spark, folder)

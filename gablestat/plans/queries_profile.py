@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gablestat.functions import columns as C
-from gablestat.operators import groups, profile
+from gablestat.functions.levels import BOOSTED_FEATURES
+from gablestat.operators import filters, groups, profile
 from gablestat.operators.quantiles import medians
-from gablestat.plans.binding import EVERY, assessments
+from gablestat.plans.binding import EVERY, NEW, assessments
 from gablestat.plans.catalog import over_view, register
+from gablestat.session import cut_lineage
 
 NUMBERS = ["total_value", "land_value", "bldg_value", "gross_tax", "land_sf", "living_area", "bed_rms", "full_bth", "yr_built"]
 
@@ -211,3 +213,47 @@ def u5(spark, folder):
 )
 def t3(spark, folder):
     return profile.missing_profile(_gappy(spark, folder)).select("column", "missing_count").limit(2)
+
+
+_DISTINCTS = ["pid", "city", "zip_code", "lu_desc", "bldg_type"]
+
+
+@register(
+    "a7_distinct_sketches",
+    over_view(_stack(
+        f"SELECT '{{c}}' AS \"column\", count(DISTINCT {{c}}) FILTER (fiscal_year = {NEW}) AS of_last, count(DISTINCT {{c}}) AS of_all, true AS near_last, true AS near_all FROM a",
+        _DISTINCTS)),
+)
+def a7_sketches(spark, folder):
+    """Exact distinct counts of the last snapshot and of all, and whether the stored sketches of the snapshots come within four standard errors."""
+    rows = assessments(spark, folder, ["fiscal_year", *_DISTINCTS])
+    sketches = cut_lineage(profile.distinct_sketches(rows, "fiscal_year", _DISTINCTS))
+    last = profile.merged_distincts(sketches.where(F.col("fiscal_year") == NEW)).withColumnRenamed("estimate", "e_last")
+    every = profile.merged_distincts(sketches).withColumnRenamed("estimate", "e_all")
+    new = F.col("fiscal_year") == NEW
+    exact = rows.agg(*[F.struct(F.countDistinct(F.when(new, F.col(c))).alias("of_last"), F.countDistinct(c).alias("of_all")).alias(c) for c in _DISTINCTS])
+    exact = exact.unpivot([], _DISTINCTS, "column", "n").select("column", "n.*")
+    error = 4 * 1.04 / 2 ** (profile.SKETCH_BITS / 2)
+
+    def near(estimate, count):
+        return (F.abs(F.col(estimate) - F.col(count)) <= F.col(count) * error + 1).alias(f"near_{count[3:]}")
+
+    return exact.join(last, "column").join(every, "column").select("column", "of_last", "of_all", near("e_last", "of_last"), near("e_all", "of_all"))
+
+
+_ROLL = [c for c in EVERY if c not in ("pid", "record_id", "fiscal_year", "total_value", "lu_desc")]
+
+
+@register(
+    "u4_wanted_columns",
+    over_view(" UNION ALL ".join(
+        f"SELECT '{c}' AS \"column\", {'true' if c in _ROLL else 'false'} AS present, {f'count({c}) AS filled FROM a' if c in _ROLL else 'CAST(NULL AS BIGINT) AS filled'}"
+        for c in BOOSTED_FEATURES)),
+)
+def u4(spark, folder):
+    """Which of the boosted model's columns the roll has, and how many of its rows fill them."""
+    rows = assessments(spark, folder, _ROLL)
+    found, absent = filters.split_names(rows, BOOSTED_FEATURES)
+    have = rows.agg(*[F.count(c).alias(c) for c in found]).unpivot([], found, "column", "filled")
+    lost = spark.createDataFrame([(c,) for c in absent], "column string").select("column", F.lit(None).cast("long").alias("filled"))
+    return have.unionByName(lost).select("column", F.col("filled").isNotNull().alias("present"), "filled")
