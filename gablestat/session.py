@@ -6,6 +6,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -72,9 +74,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """Collects the paths of all tables that are stored inside, for a caller that deletes them once their readers are done."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders[:] = [r for r in _recorders if r is not paths]
+
+
 def store(df: DataFrame) -> tuple[DataFrame, str]:
     """The rows as a table in the shared folder, and its path for ``drop_stored``."""
     path = fresh_path(df.sparkSession, "rows")
+    for paths in _recorders:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path  # no job to find the schema
 
