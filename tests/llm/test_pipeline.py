@@ -37,3 +37,17 @@ def test_repeated_rows_stay_once_and_shared_ids_keep_their_own_text(spark):
     left = {(r.doc_id, r.text.strip()) for r in docs.collect()}
     assert docs.count() == len(left)
     assert left == {(1, words(1, 80)), (2, words(2, 80)), (5, words(5, 80)), (6, words(6, 80)), (None, words(7, 80)), (8, words(8, 20)), (8, words(9, 80))}
+
+
+def test_no_column_name_clashes_and_an_empty_table_stays_empty(spark):
+    names = ["n_words", "failed_bits", "_words", "_lines", "_row", "_text", "_id", "_rest", "class", "component_id"]
+    text = " ".join(f"word{i}" for i in range(80))
+    rows = [(k, text + f" {k} " + " ".join(f"own{k}x{i}" for i in range(60)), *(-k for _ in names)) for k in range(1, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    empty = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.cut_lineage(stage(spark, docs, FOLDER))
+        empty = corpus_pipeline.cut_lineage(stage(spark, empty, FOLDER))
+        assert docs.columns == ["doc_id", "text", *names] and empty.columns == docs.columns and empty.count() == 0
+    assert docs.count() == 3 and all(r[n] == -r.doc_id for r in docs.collect() for n in names)
+    assert corpus_pipeline.STAGES[-1][1](spark, empty, FOLDER).count() == 0
