@@ -65,8 +65,13 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The documents with ``_row``, a number of their own in the order of doc_id, since an id may be null or shared."""
-    return cut_lineage(docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "text").withColumn("_row", F.monotonically_increasing_id()))
+    """The documents with ``_row``, a number of their own in the order of doc_id, since an id may be null or shared.
+
+    Partitions are cut by id and hash, so that no text is among the keys that are sampled; texts of one hash are told apart
+    where they are sorted.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
+    return cut_lineage(docs.repartitionByRange(*order).sortWithinPartitions(*order, "text").withColumn("_row", F.monotonically_increasing_id()))
 
 
 @_stage
