@@ -3,8 +3,11 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles; equal sets are one class. Two sets of
 similarity 0.8 or more share one of their ``n - ceil(0.8 n) + 1`` first shingles in any fixed order of all shingles. The order
 puts shingles that are frequent in the whole corpus last (by a table of ``2 ** ORDER_BITS`` counts over all documents, a fixed
-size), so a line or passage that many documents share seldom makes them candidates. A *tile* holds the classes that share a first
-shingle; within it only neighbouring size bands (factor 1.25) can match.
+size). Those that the table can't tell from rare ones are counted where they are first shingles: the ones of more than ``USUAL``
+rows and more than one class set a bit of a bitmap of ``2 ** HOT_BITS`` bits and come after the others, ``PASSES`` times over. Any
+bitmap gives an order, so chance hits cost time and lose nothing. So a line or passage that many documents share seldom makes
+them candidates. A *tile* holds the classes that share a first shingle; within it only neighbouring size bands (factor 1.25)
+can match, and of those only pairs of which enough shingles are left from the shared one on.
 
 Links inside a tile are not looked for among all pairs. Each class first tries a few partners that its tiles name, differently
 for each class; links found are contracted to components, and again. Tiles that then lie in one component need no more work;
@@ -38,6 +41,9 @@ from gablestat.session import cut_lineage
 
 PERCENT = 80
 ORDER_BITS = 17
+#: A shingle that this many rows have among their first ones is still rare.
+USUAL = 8
+HOT_BITS, PASSES = 26, 2
 #: Rounds of tries before all pairs of classes from different components are checked.
 ROUNDS = 2
 
@@ -81,9 +87,50 @@ def frequency_ranks(docs: DataFrame, text: str = "text", bits: int = ORDER_BITS)
     return np.where(above <= 8 + 6 * np.sqrt(usual), 0, 1 + np.log2(np.maximum(above, 1))).astype(np.uint8)
 
 
+def _is_hot(hot: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = hashes >> np.uint64(64 - HOT_BITS)
+    return (hot[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _head(own: np.ndarray, ranks: np.ndarray, hot: np.ndarray, percent: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set that may be rare, in order, and those after them, which are frequent."""
+    rank = ranks[(own >> np.uint64(64 - bits)).astype(np.int64)].astype(np.int64)
+    head = np.argsort(2 * rank + _is_hot(hot, own), kind="stable")[: len(own) - -(-percent * len(own) // 100) + 1 if len(own) else 0]
+    often = rank[head] > 0
+    return own[head[~often]], own[head[often]]
+
+
+def hot_shingles(docs: DataFrame, ranks, text: str = "text", percent: int = PERCENT, bits: int = ORDER_BITS) -> np.ndarray:
+    """A bitmap (64 bits an entry) of the rare first shingles of more than ``USUAL`` rows; copies of one text count for nothing."""
+    hot = np.zeros(1 << HOT_BITS >> 6, dtype=np.uint64)
+    for _ in range(PASSES):
+        known = docs.sparkSession.sparkContext.broadcast(hot)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for_rows = [(_head(own, ranks.value, known.value, percent, bits)[0], _class_of(own) & 0xFFFF) for _, own in _sets(batch.column(0)) if len(own)]
+                new = [(own[~_is_hot(known.value, own)], tag) for own, tag in for_rows]
+                place = np.concatenate([own >> np.uint64(64 - HOT_BITS) for own, _ in new]) if new else np.zeros(0, np.uint64)
+                tag = np.repeat([tag for _, tag in new], [len(own) for own, _ in new])
+                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(tag.astype(np.int32))], names=["place", "tag"])
+
+        counted = docs.select(text).mapInArrow(places, "place int, tag int").groupBy("place").agg(
+            F.count("*").alias("n"), F.min("tag").alias("tag0"), F.max("tag").alias("tag1"))
+        often = counted.where((F.col("n") > USUAL) & (F.col("tag0") < F.col("tag1")))
+        bit = F.expr("shiftleft(1L, place & 63)")
+        # at most 2 ** (HOT_BITS - 6) rows
+        rows = often.groupBy(F.shiftright("place", 6).alias("entry")).agg(F.bit_or(bit).alias("held")).toPandas()
+        known.unpersist()
+        hot = hot.copy()
+        hot[rows["entry"].to_numpy(dtype=np.int64)] |= rows["held"].to_numpy(dtype=np.int64).view(np.uint64)
+    return hot
+
+
 def first_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, bits: int = ORDER_BITS) -> DataFrame:
     """Per row: ``key n class sign`` and its first shingles, ``rare`` and ``frequent`` (array of long)."""
-    ranks = docs.sparkSession.sparkContext.broadcast(frequency_ranks(docs, text, bits))
+    context = docs.sparkSession.sparkContext
+    ranks = context.broadcast(frequency_ranks(docs, text, bits))
+    hot = context.broadcast(hot_shingles(docs, ranks, text, percent, bits))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,11 +141,8 @@ def first_shingles(docs: DataFrame, key: str = "doc_id", text: str = "text", per
                 n.append(size)
                 classes.append(_class_of(own) if size else None)
                 signs.append(_sign(own))
-                rank = ranks.value[(own >> np.uint64(64 - bits)).astype(np.int64)]
-                head = np.argsort(rank, kind="stable")[: size - -(-percent * size // 100) + 1 if size else 0]
-                often = rank[head] > 0
-                for out, part in zip(lists, (head[~often], head[often])):
-                    out.append(own[part].view(np.int64))
+                for out, part in zip(lists, _head(own, ranks.value, hot.value, percent, bits)):
+                    out.append(part.view(np.int64))
             arrays = []
             for parts in lists:
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
@@ -115,18 +159,21 @@ def _band(n: Column) -> Column:
     return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.25))).cast("int")
 
 
-def _tiles(firsts: DataFrame) -> DataFrame:
-    """``token class n lo hi`` of the classes that share a first shingle with one of a neighbouring size; lo and hi name two such, at random."""
+def _tiles(classes: DataFrame) -> DataFrame:
+    """``token class n pos lo hi`` of the classes that share a first shingle with one of a neighbouring size; lo and hi name two such, at random.
+
+    ``pos`` shingles of the class come before the token.
+    """
     own = F.col("class").bitwiseXOR(F.col("token"))  # a different order of the classes in every tile, and it can be undone
-    rare = firsts.select("class", "n", F.explode("rare").alias("token"))
+    rare = classes.select("class", "n", F.posexplode("rare").alias("pos", "token"))
     size = F.floor(F.log(F.col("n").cast("double")) * 1_000_000)
     near = Window.partitionBy("token").orderBy(size).rangeBetween(-223_146, 223_146)  # log(1.25), rounded up
     rare = rare.withColumns({"lo": F.min(own).over(near), "hi": F.max(own).over(near)}).where("lo < hi")
-    often = firsts.select("class", "n", F.explode("frequent").alias("token"))
+    often = classes.select("class", "n", F.size("rare").alias("before"), F.posexplode("frequent").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("before"))
     often = often.withColumn("band", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)))
     ends = often.groupBy("token", "band").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi")
     often = often.join(ends, ["token", "band"])
-    names = ["token", "class", "n", "lo", "hi"]
+    names = ["token", "class", "n", "pos", "lo", "hi"]
     return cut_lineage(rare.select(*names).unionByName(often.select(*names)))
 
 
@@ -230,9 +277,9 @@ def _all(links: list[DataFrame]) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per row: ``key n_shingles class component_id``, the smallest key that links of ``percent`` similarity reach."""
     firsts = cut_lineage(first_shingles(docs, key, text, percent))
-    tiles = _tiles(firsts)
-    signs = firsts.where("n > 0").groupBy("class").agg(F.max("n").alias("n"), F.max("sign").alias("sign"))
-    signs = cut_lineage(signs.join(tiles.select("class").distinct(), "class", "left_semi"))
+    classes = cut_lineage(firsts.where("n > 0").select("class", "n", "sign", "rare", "frequent").dropDuplicates(["class"]))  # copies take part once
+    tiles = _tiles(classes)
+    signs = cut_lineage(classes.select("class", "n", "sign").join(tiles.select("class").distinct(), "class", "left_semi"))
     corpus = _Corpus(docs, firsts, signs, key, text, percent)
     links, roots, left = [], None, tiles
     for turn in range(rounds):
@@ -242,10 +289,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
             break
         links.append(found)
         roots = cut_lineage(components(_all(links)))
-    left = _rooted(left, roots).select("token", "class", "n", "root", _band(F.col("n")).alias("band"))
-    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "root", "band"))) for s in "ab")
+    left = _rooted(left, roots).select("token", "class", "n", "pos", "root", _band(F.col("n")).alias("band"))
+    a, b = (left.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("class", "n", "pos", "root", "band"))) for s in "ab")
+    # the first shingle that two sets share and all after it are more than the intersection: a pair is kept in the tile of that one at least
     across = a.join(b, "token").where(
-        f"class_a < class_b and root_a <> root_b and abs(band_a - band_b) <= 1 and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+        f"class_a < class_b and root_a <> root_b and abs(band_a - band_b) <= 1 and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        f" and (100 + {percent}) * least(n_a - pos_a, n_b - pos_b) >= {percent} * (n_a + n_b)")
     pairs = across.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
     found = corpus.links(pairs)
     if not found.isEmpty() or roots is None:
