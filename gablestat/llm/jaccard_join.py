@@ -9,8 +9,9 @@ bitmap gives an order, so chance hits cost time and lose nothing. So a line or p
 them candidates. A *tile* holds the classes that share a first shingle; within it only neighbouring size bands (factor 1.25)
 can match, and of those only pairs of which enough shingles are left from the shared one on.
 
-Links inside a tile are not looked for among all pairs. Each class first tries a few partners that its tiles name, differently
-for each class; links found are contracted to components, and again. Tiles that then lie in one component need no more work;
+Links inside a tile are not looked for among all pairs. Each class first tries a few partners that its tiles name: one at random,
+differently for each class, and the one with the fewest shingles before the tile's, which is the likeliest to be what the others
+are copies of; links found are contracted to components, and again. Tiles that then lie in one component need no more work;
 in the others the pairs of classes from different components are checked, all of them. So no link between components is lost,
 while a group of near copies costs a number of checks in proportion to its size. A pair is first bounded from above by
 the bits of hashed bitmap signatures, whose size grows with the size band: each bit that only one has costs a common
@@ -160,20 +161,21 @@ def _band(n: Column) -> Column:
 
 
 def _tiles(classes: DataFrame) -> DataFrame:
-    """``token class n pos lo hi`` of the classes that share a first shingle with one of a neighbouring size; lo and hi name two such, at random.
+    """``token class n pos lo near`` of the classes that share a first shingle with one of a neighbouring size.
 
-    ``pos`` shingles of the class come before the token.
+    ``pos`` shingles of the class come before the token; ``lo`` names one of the classes at random, ``near`` the one of least ``pos``.
     """
     own = F.col("class").bitwiseXOR(F.col("token"))  # a different order of the classes in every tile, and it can be undone
     rare = classes.select("class", "n", F.posexplode("rare").alias("pos", "token"))
     size = F.floor(F.log(F.col("n").cast("double")) * 1_000_000)
-    near = Window.partitionBy("token").orderBy(size).rangeBetween(-223_146, 223_146)  # log(1.25), rounded up
-    rare = rare.withColumns({"lo": F.min(own).over(near), "hi": F.max(own).over(near)}).where("lo < hi")
+    alike = Window.partitionBy("token").orderBy(size).rangeBetween(-223_146, 223_146)  # log(1.25), rounded up
+    first = F.min(F.struct("pos", own.alias("own")))
+    rare = rare.withColumns({"lo": F.min(own).over(alike), "hi": F.max(own).over(alike), "near": first.over(alike)["own"]}).where("lo < hi")
     often = classes.select("class", "n", F.size("rare").alias("before"), F.posexplode("frequent").alias("pos", "token")).withColumn("pos", F.col("pos") + F.col("before"))
     often = often.withColumn("band", F.explode(F.array(_band(F.col("n")), _band(F.col("n")) + 1)))
-    ends = often.groupBy("token", "band").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi")
+    ends = often.groupBy("token", "band").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), first["own"].alias("near")).where("lo < hi")
     often = often.join(ends, ["token", "band"])
-    names = ["token", "class", "n", "pos", "lo", "hi"]
+    names = ["token", "class", "n", "pos", "lo", "near"]
     return cut_lineage(rare.select(*names).unionByName(often.select(*names)))
 
 
@@ -254,19 +256,21 @@ def _rooted(tiles: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _tries(tiles: DataFrame, turn: int) -> DataFrame:
-    """A few pairs (``a b``) for every class: partners that its tiles name, chosen by the class itself."""
-    turned = F.lit(int(mix(np.array([turn], dtype=np.uint64)).view(np.int64)[0]))
+    """A few pairs (``a b``) for every class: partners that its tiles name, chosen by the class itself, none of its own component."""
     if turn:
-        mask = F.col("token").bitwiseXOR(turned)
-        ends = tiles.groupBy("token").agg(F.min(F.col("class").bitwiseXOR(mask)).alias("lo"), F.max(F.col("class").bitwiseXOR(mask)).alias("hi"))
-        tiles = tiles.drop("lo", "hi").join(ends, "token").withColumns({"lo": F.col("lo").bitwiseXOR(turned), "hi": F.col("hi").bitwiseXOR(turned)})
+        turned = int(mix(np.array([turn], dtype=np.uint64)).view(np.int64)[0])
+        own = F.col("class").bitwiseXOR(F.col("token")).bitwiseXOR(F.lit(turned))
+        ends = tiles.groupBy("token").agg(F.min(F.struct(own.alias("own"), "class", "root")).alias("lo"), F.min(F.struct("pos", own.alias("own"), "class", "root")).alias("near"))
+        tiles = tiles.drop("lo", "near").join(ends, "token")
+        named = {end: F.when(F.col(f"{end}.root") != F.col("root"), F.col(f"{end}.class")) for end in ("lo", "near")}
+    else:
+        named = {end: F.when(F.col(end).bitwiseXOR(F.col("token")) != F.col("class"), F.col(end).bitwiseXOR(F.col("token"))) for end in ("lo", "near")}
     picks = []
-    for end in ("lo", "hi"):
-        partner = F.col(end).bitwiseXOR(F.col("token"))
-        seen = F.when(partner != F.col("class"), partner.bitwiseXOR(F.col("class")))
+    for end, partner in named.items():
+        seen = partner.bitwiseXOR(F.col("class"))
         picks += [F.min(seen).alias(f"{end}0"), F.max(seen).alias(f"{end}1")]
     picked = tiles.groupBy("class").agg(*picks)
-    partners = picked.select("class", F.explode(F.array("lo0", "lo1", "hi0", "hi1")).alias("x")).where("x is not null").withColumn("other", F.col("x").bitwiseXOR(F.col("class")))
+    partners = picked.select("class", F.explode(F.array("lo0", "lo1", "near0", "near1")).alias("x")).where("x is not null").withColumn("other", F.col("x").bitwiseXOR(F.col("class")))
     return partners.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
 
