@@ -6,7 +6,7 @@ texts; a text gets the language of the centroid of greatest cosine. ``rejected``
 the texts of that cluster explain.
 
 Bounds: n-gram document frequencies cover all labelled texts and are ``DIMENSIONS`` counts; k-means sees about
-``SAMPLE`` texts of each language (chosen by hash); the centroids broadcast are ``CLUSTERS * DIMENSIONS`` floats a language.
+``SAMPLE`` texts of each language (chosen by a hash of key and text, rows that repeat once); the centroids broadcast are ``CLUSTERS * DIMENSIONS`` floats a language.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0 and rejected; without any labelled
 text all are; rows may repeat; a labelled text without n-grams teaches nothing; an empty table gives no rows; other columns
@@ -27,6 +27,8 @@ from gablestat.llm.words import buffers
 from gablestat.session import cut_lineage
 
 DIMENSIONS, CLUSTERS, SAMPLE, SEED = 1 << 13, 4, 400, 11
+#: A table of at most this many languages and their sizes is broadcast.
+FEW_LANGUAGES = 20_000
 _BYTES = np.arange(256)
 _UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 97) & (_BYTES <= 122)
 _PLAIN = np.where(_UPPER, _BYTES + 32, np.where(_LOWER | (_BYTES >= 0x80), _BYTES, 0x20)).astype(np.uint32)
@@ -113,9 +115,13 @@ class LanguageId:
             centres, floors = _cluster(vectors, clusters)
             return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [c.tobytes() for c in centres], "floor": floors})
 
-        sizes = known.groupBy("lang").agg(F.count("*").alias("_size"))
-        share = F.pmod(F.xxhash64("key", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
-        some = cut_lineage(known.join(sizes, "lang").where(share < F.lit(float(self.sample)) / F.col("_size")).select("lang", "text"))
+        sizes = cut_lineage(known.groupBy("lang").agg(F.count("*").alias("_size")))
+        if sizes.count() <= FEW_LANGUAGES:  # then texts stay where they are; otherwise a join that adaptive execution can split
+            sizes = F.broadcast(sizes)
+        share = F.pmod(F.xxhash64("key", "text", F.lit(SEED)), F.lit(1_000_003)) / 1_000_003
+        some = known.join(sizes, "lang").where(share < F.lit(float(self.sample)) / F.col("_size"))
+        # rows that repeat teach once, and are merged before they leave a task
+        some = cut_lineage(some.groupBy("lang", "key", F.sha2("text", 256).alias("_tag")).agg(F.first("text").alias("text")).select("lang", "text"))
         learned = some.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, floor double").orderBy("lang", "centre").collect()
         self.languages = [r["lang"] for r in learned]
         if learned:
