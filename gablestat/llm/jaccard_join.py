@@ -44,7 +44,9 @@ PERCENT = 80
 ORDER_BITS = 17
 #: A shingle that this many rows have among their first ones is still rare.
 USUAL = 8
-HOT_BITS, PASSES = 26, 2
+#: Binary logarithms of the places of the bitmap and of those that are counted together.
+HOT_BITS, PART = 26, 14
+PASSES = 2
 #: Rounds of tries before all pairs of classes from different components are checked.
 ROUNDS = 2
 
@@ -109,21 +111,41 @@ def hot_shingles(docs: DataFrame, ranks, text: str = "text", percent: int = PERC
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for_rows = [(_head(own, ranks.value, known.value, percent, bits)[0], _class_of(own) & 0xFFFF) for _, own in _sets(batch.column(0)) if len(own)]
-                new = [(own[~_is_hot(known.value, own)], tag) for own, tag in for_rows]
-                place = np.concatenate([own >> np.uint64(64 - HOT_BITS) for own, _ in new]) if new else np.zeros(0, np.uint64)
-                tag = np.repeat([tag for _, tag in new], [len(own) for own, _ in new])
-                yield pa.RecordBatch.from_arrays([pa.array(place.astype(np.int32)), pa.array(tag.astype(np.int32))], names=["place", "tag"])
-
-        counted = docs.select(text).mapInArrow(places, "place int, tag int").groupBy("place").agg(
-            F.count("*").alias("n"), F.min("tag").alias("tag0"), F.max("tag").alias("tag1"))
-        often = counted.where((F.col("n") > USUAL) & (F.col("tag0") < F.col("tag1")))
-        bit = F.expr("shiftleft(1L, place & 63)")
-        # at most 2 ** (HOT_BITS - 6) rows
-        rows = often.groupBy(F.shiftright("place", 6).alias("entry")).agg(F.bit_or(bit).alias("held")).toPandas()
+                heads = [(_head(own, ranks.value, known.value, percent, bits)[0], _class_of(own) & 0xFFFF) for _, own in _sets(batch.column(0)) if len(own)]
+                heads = [(own[~_is_hot(known.value, own)] >> np.uint64(64 - HOT_BITS), tag) for own, tag in heads]
+                place = np.concatenate([own for own, _ in heads]).astype(np.int64) if heads else np.zeros(0, np.int64)
+                tag = np.repeat(np.array([tag for _, tag in heads], dtype=np.int64), [len(own) for own, _ in heads])
+                by = np.argsort(place, kind="stable")
+                part = place[by] >> PART
+                packed = ((place[by] & ((1 << PART) - 1)) << 16 | tag[by]).astype(np.uint32)  # four bytes a shingle
+                cuts = np.flatnonzero(np.diff(part, prepend=-1))
+                held = [packed[x:y].tobytes() for x, y in zip(cuts, [*cuts[1:], len(part)])]
+                yield pa.RecordBatch.from_arrays([pa.array(part[cuts].astype(np.int32)), pa.array(held, pa.binary())], names=["part", "packed"])
+
+        def often(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # counts, least and greatest tag of each place
+            for batch in batches:
+                for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    x = np.frombuffer(packed, np.uint32)
+                    place, tag = (x >> 16).astype(np.int64), (x & 0xFFFF).astype(np.uint16)
+                    if part not in parts:
+                        parts[part] = np.zeros(1 << PART, np.uint32), np.full(1 << PART, 0xFFFF, np.uint16), np.zeros(1 << PART, np.uint16)
+                    n, least, most = parts[part]
+                    np.add.at(n, place, np.uint32(1))
+                    np.minimum.at(least, place, tag)
+                    np.maximum.at(most, place, tag)
+            for part, (n, least, most) in parts.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part], pa.int32()), pa.array([np.packbits((n > USUAL) & (least < most), bitorder="little").tobytes()], pa.binary())], names=["part", "held"])
+
+        # a task counts at most a 64th of the places (8 MB), and adaptive execution doesn't merge them; the driver gets the bitmap and no more
+        tasks = max(64, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        found = docs.select(text).mapInArrow(places, "part int, packed binary").repartition(tasks, "part").mapInArrow(often, "part int, held binary")
+        new = np.zeros_like(hot)
+        for r in found.toLocalIterator():
+            new[r.part << PART >> 6 : (r.part + 1) << PART >> 6] = np.frombuffer(r.held, np.uint64)
         known.unpersist()
-        hot = hot.copy()
-        hot[rows["entry"].to_numpy(dtype=np.int64)] |= rows["held"].to_numpy(dtype=np.int64).view(np.uint64)
+        hot = hot | new
     return hot
 
 
