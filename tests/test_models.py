@@ -76,6 +76,25 @@ def test_large_and_small_nodes_give_the_same_sampled_trees(spark, monkeypatch):
     assert np.array(found[0][0], dtype=float)[:, :2] == pytest.approx(np.array(found[2][0], dtype=float)[:, :2])
 
 
+def test_state_is_blocks_of_rows_and_no_round_deals_out_too_many(spark, monkeypatch):
+    df, _, _ = table(spark)
+    s = Settings(rounds=3, depth=4, rows=0.7, columns=0.7, bins=32)
+    states, found, kept, borders = [], [], boosting._kept, None
+    monkeypatch.setattr(boosting, "_kept", lambda state, *n: states.append(state.count()) or kept(state, *n))
+    finished = []
+    run = boosting._Level.run
+    monkeypatch.setattr(boosting._Level, "run", lambda self, *a, **k: finished.append(bool(k.get("finish"))) or run(self, *a, **k))
+    for most in (boosting.DEALT, 0):
+        monkeypatch.setattr(boosting, "DEALT", most)
+        finished.clear()
+        model = fit_boosted(df, ["a", "b", "c"], "y", ["id"], s, borders=borders)
+        borders = model.borders
+        assert any(finished) == (most > 0)
+        found.append([(t.feature.tolist(), t.border.tolist(), t.cover.tolist()) for t in model.trees])
+    assert found[0] == found[1]
+    assert max(states) <= 16  # batches of the 3,000 rows, not rows
+
+
 def test_training_stops_when_held_out_rows_gain_no_more(spark):
     df, _, _ = table(spark, 800)
     noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).withColumn("valid", F.col("id") % 3 == 0)
