@@ -6,7 +6,7 @@ snapshot column, so several years are cleaned in the same pass.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,16 @@ def parse_roll(df: DataFrame) -> DataFrame:
     return df.withColumns(plan)
 
 
+def computed_once(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same rows, where the columns are worked out before any filter: Spark would otherwise repeat what they are made of
+    in each condition and ratio that names them. Other columns stay as they are, and unused ones are left out."""
+    some = [c for c in dict.fromkeys(columns) if c in df.columns]
+    if not some:
+        return df
+    others = [c for c in df.columns if c not in some]
+    return df.select(*others, F.inline(F.array(F.struct(*some)))).select(*df.columns)
+
+
 def derive_ratios(df: DataFrame, as_of_year: int | Column, rounded: bool = False) -> DataFrame:
     """Price per area, age and tax ratio; ``rounded`` keeps 2 and 4 decimals."""
     return df.withColumns(
@@ -42,6 +52,7 @@ def derive_ratios(df: DataFrame, as_of_year: int | Column, rounded: bool = False
 
 
 POSITIVE = ("total_value", "gross_tax", "living_area", "land_sf")
+_TESTED = (*POSITIVE, "yr_built")
 
 
 def clean_for_comparison(
@@ -51,7 +62,8 @@ def clean_for_comparison(
 
     ``bounded_groups`` says that the periods are few, so that their fences may be broadcast.
     """
-    rows = valid_records(parse_roll(df), as_of_year, POSITIVE)
+    rows = computed_once(parse_roll(df), [*_TESTED, "land_value", "bldg_value"])
+    rows = valid_records(rows, as_of_year, POSITIVE)
     rows = iqr_filter(rows, "total_value", by=[period], bounded_groups=bounded_groups)
     rows = derive_ratios(rows, F.col(period)).withColumns(
         {"bldg_type_clean": strip_prefix("bldg_type"), "city_clean": title_trim("city")}
@@ -65,7 +77,7 @@ def clean_for_comparison(
 
 def clean_for_tests(df: DataFrame, as_of_year: int, max_psf: float = 5000.0) -> DataFrame:
     """Valid rows below a price-per-area cap."""
-    rows = valid_records(parse_roll(df), as_of_year, POSITIVE).withColumns(
+    rows = valid_records(computed_once(parse_roll(df), _TESTED), as_of_year, POSITIVE).withColumns(
         {
             "price_per_sqft": price_per_area("total_value", "living_area"),
             "tax_to_value_ratio": ratio_pct("gross_tax", "total_value"),
@@ -81,9 +93,8 @@ def clean_for_tests(df: DataFrame, as_of_year: int, max_psf: float = 5000.0) ->
 
 def clean_for_regression(df: DataFrame, as_of_year: int, period: str = "fiscal_year") -> DataFrame:
     """Valid rows with plausible room counts, and the logarithms the models use."""
-    rows = valid_records(
-        parse_roll(df), as_of_year, POSITIVE, {"bed_rms": (0, 10), "full_bth": (0, 8)}
-    )
+    rows = computed_once(parse_roll(df), [*_TESTED, "bed_rms", "full_bth", "hlf_bth", "num_parking"])
+    rows = valid_records(rows, as_of_year, POSITIVE, {"bed_rms": (0, 10), "full_bth": (0, 8)})
     rows = derive_ratios(rows, F.col(period)).withColumns(
         {
             "log_total_value": ln_pos("total_value"),

@@ -243,3 +243,17 @@ def test_top_categories_semi_join(homes):
 def test_symmetric_bound(spark):
     df = spark.createDataFrame([(49.0, -49.0), (50.0, 0.0), (0.0, -51.0), (None, 0.0)], "a double, b double")
     assert filters.symmetric_bound(df, ["a", "b"], 50).count() == 1
+
+
+def test_cleaning_parses_a_text_once_however_many_filters_read_it(spark):
+    from gablestat.plans.cleaning import clean_for_comparison, clean_for_regression, clean_for_tests
+
+    rows = [("1,000.00", "$10.00", "50", "70", "1990", "F - X", "Y", "2"), ("", "$10.00", "50", "70", "1990", "F - X", "Y", "2"), ("9.00", "$1", "0", "70", "1990", "F - X", "Y", "2")]
+    df = spark.createDataFrame(rows, "raw string, gross_tax string, living_area string, land_sf string, yr_built string, bldg_type string, own_occ string, bed_rms string")
+    df = df.withColumns({"total_value": F.reverse(F.reverse("raw")), "fiscal_year": F.lit(2000), "land_value": F.col("raw"), "bldg_value": F.col("raw"),
+                         "city": F.lit("a"), **{c: F.lit("1") for c in ("full_bth", "hlf_bth", "num_parking")}})
+    for clean in (clean_for_tests, clean_for_regression, clean_for_comparison):
+        out = clean(df, 2000)
+        assert [(r.total_value, r.price_per_sqft) for r in out.select("total_value", "price_per_sqft").collect()] == [(1000.0, 20.0)]
+    plan = clean_for_tests(df, 2000).groupBy("own_occ").agg(F.sum("total_value"), F.avg("price_per_sqft"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("reverse(reverse(") == 1
