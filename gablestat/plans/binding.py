@@ -50,6 +50,7 @@ def _columns() -> dict[str, tuple[Column, tuple[str, ...]]]:
     return {
         "pid": (F.col("l_partkey"), ()),
         "record_id": (F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ()),
+        "order_key": (F.col("l_orderkey"), ()),
         "fiscal_year": (F.year("l_shipdate"), ()),
         "city": (F.col("n_name"), ("supplier", "nation")),
         "zip_code": (F.lpad(F.col("l_suppkey").cast("string"), 5, "0"), ()),
@@ -101,12 +102,12 @@ def assessments(
         df = df.filter(_in_years("l_shipdate", years))
     if "part" in needed:
         df = df.join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    if "orders" in needed:
-        df = df.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     if "supplier" in needed:
         df = df.join(table(spark, folder, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     if "nation" in needed:
         df = df.join(table(spark, folder, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    if "orders" in needed:  # last, so that rows lie by order_key where this join moves them
+        df = df.join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return df.select(*[known[c][0].alias(c) for c in columns])
 
 

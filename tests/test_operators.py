@@ -257,3 +257,18 @@ def test_cleaning_parses_a_text_once_however_many_filters_read_it(spark):
         assert [(r.total_value, r.price_per_sqft) for r in out.select("total_value", "price_per_sqft").collect()] == [(1000.0, 20.0)]
     plan = clean_for_tests(df, 2000).groupBy("own_occ").agg(F.sum("total_value"), F.avg("price_per_sqft"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("reverse(reverse(") == 1
+
+
+def test_distinct_whole_rows_move_no_whole_rows(spark):
+    from __spark_entry__ import queries
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = queries()["u3_distinct_whole_rows"](spark, "/root/testdata/sf0.001")
+        assert "order_key" not in df.columns and df.count() == df.distinct().count()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        top = plan[: plan.index("SortMergeJoin")]
+        assert "Exchange" not in top  # rows meet where the last join put them
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
