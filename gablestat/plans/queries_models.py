@@ -120,8 +120,8 @@ def m7(spark, folder):
 
 def _prepared(spark, folder, features=levels.TREE_FEATURES):
     rows = filters.valid_records(_roll(spark, folder, "record_id"), NEW)
-    data, names = M.prepare(rows, features, "total_value", ["record_id"])
-    parts = M.split_hash(data, ["record_id"])
+    # split before rows are stored: training reads them several times
+    parts, names = M.prepare(M.split_hash(rows, ["record_id"]), features, "total_value", ["split"])
     return parts.filter("split = 'train'"), parts.filter("split = 'test'"), names
 
 

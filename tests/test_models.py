@@ -216,3 +216,17 @@ def test_stored_tables_are_deleted_and_nothing_else(spark, tmp_path):
 
 def test_settings_are_those_of_the_roll():
     assert replace(Settings()) == Settings(300, 0.05, 8, 0.8, 0.8, 1.0, 0.5, 1, 256, 15, 42)
+
+
+def test_model_rows_are_split_before_they_are_stored(spark):
+    from gablestat.operators import filters
+    from gablestat.operators.modeling import split_hash
+    from gablestat.plans import queries_models
+    from gablestat.plans.binding import NEW
+
+    folder = "/root/testdata/sf0.001"
+    train, test, _ = queries_models._prepared(spark, folder)
+    assert "md5" not in train._jdf.queryExecution().optimizedPlan().toString()
+    rows = filters.valid_records(queries_models._roll(spark, folder, "record_id"), NEW)
+    want = {r["split"]: r["n"] for r in split_hash(rows, ["record_id"]).groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert {"train": train.count(), "test": test.count()} == want
