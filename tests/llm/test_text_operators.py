@@ -3,6 +3,7 @@
 import base64
 import bisect
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -25,6 +26,7 @@ from gablestat.llm.toxicity import BlockMaxIndex, ToxicityScorer
 from gablestat.llm.url_filter import UrlFilter
 from gablestat.llm.weak_quality import LABELLERS, WeakQuality, estimate
 from gablestat.llm.words import Words, mix
+from gablestat.session import recording
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 SCHEMA = "doc_id long, text string, lang string, unit string, level int, score double, n_words int, host string"
@@ -269,6 +271,23 @@ def test_passages_lie_in_one_run_of_the_other_text():
     assert passages(a[:80], np.concatenate([own, a[10:90]]), [90], 46) == [(10, 80)]
 
 
+def test_one_word_again_and_again_is_found_whole_by_any_shift():
+    v, own = mix(np.arange(1, 2, dtype=np.uint64)), mix(np.arange(100, 200, dtype=np.uint64))
+    x, y = np.concatenate([own[:20], np.repeat(v, 144), own[20:40]]), np.concatenate([own[50:], np.repeat(v, 60)])
+    for shift in (30, -10, -50):
+        assert passages(x, y, [shift], 46) == [(20, 164)]
+    assert passages(x, np.repeat(v, 30), range(-150, 20), 46) == []
+
+
+def test_repeated_passages_delete_what_they_stored_on_their_way(spark):
+    a = words_of(60, 70)
+    data = [(i, " ".join(words_of(60, 3000 + i) + a + words_of(60, 4000 + i))) for i in range(4)]
+    with recording() as paths:
+        got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string"))
+        assert {(r.doc_id, r.start, r.stop) for r in got.collect()} == {(i, 60, 120) for i in (1, 2, 3)}
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in paths) <= 6 < len(paths)
+
+
 def test_frequent_lines_hide_no_passage(spark):
     a, b = words_of(27, 50), words_of(27, 51)
     data = [(i, " ".join(words_of(60, 1000 + i) + (a if i % 2 else b) + words_of(60, 2000 + i))) for i in range(60)]
