@@ -285,7 +285,7 @@ def test_repeated_passages_delete_what_they_stored_on_their_way(spark):
     with recording() as paths:
         got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string"))
         assert {(r.doc_id, r.start, r.stop) for r in got.collect()} == {(i, 60, 120) for i in (1, 2, 3)}
-    assert sum(os.path.exists(p.removeprefix("file:")) for p in paths) <= 6 < len(paths)
+    assert sum(os.path.exists(p.removeprefix("file:")) for p in paths) <= 7 < len(paths)
 
 
 def test_frequent_lines_hide_no_passage(spark):
@@ -298,6 +298,28 @@ def test_frequent_lines_hide_no_passage(spark):
     assert got == {(101, 100, 60, 114), (102, 100, 60, 114), (201, 200, 0, 70), (201, 200, 130, 184)}
 
 
+def test_changed_passages_are_found_behind_any_number_of_first_documents(spark):
+    kinds = [(1, 1), (0, 1), (0, 2), (1, 0), (2, 0)]  # words in the later and in the earlier document between the two equal parts
+    parts = [(words_of(25, 500 + v), words_of(25, 600 + v)) for v in range(len(kinds))]
+    plain = words_of(45, 700)  # equal but for the edges
+
+    def text(i, pieces):
+        return " ".join(w for n, piece in enumerate(pieces) for w in [*words_of(40, 10_000 + 50 * i + n), *piece])
+
+    # the first documents of all min-hashes have one part only
+    data = [(i, text(i, [*(p[i % 2] for p in parts), plain[:30] if i % 2 else plain[15:]])) for i in range(16)]
+    for i, side in ((100, 1), (200, 0)):
+        data.append((i, text(i, [*(a + words_of(kind[side], 800 + i + v) + b for v, ((a, b), kind) in enumerate(zip(parts, kinds))), plain])))
+    got = repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.source_id) for r in got} == {(200, 100)}
+    covered = {w for r in got for w in range(r.start, r.stop)}
+    at = 0
+    for size in [50 + here for here, _ in kinds] + [45]:
+        at += 40
+        assert covered >= {*range(at, at + 24), *range(at + size - 24, at + size)} and not covered & {at - 1, at + size}
+        at += size
+
+
 def test_urls_follow_the_longest_rule(spark):
     rules = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block"}
     urls = [None, "", "nothing", "http://Example.COM/en/x?q=1", "https://www.example.com/en/", "http://a.net/es/1", "http://a.net/fr/1#x", "http://com", "http://badexample.com/en/", "ftp://x.org?u=://y/z"] * 2
