@@ -147,7 +147,7 @@ def _hot_keys(hot: dict[str, set[bytes]], langs: pa.Array, words: pa.Array) -> n
 
 
 def _stripes(size: int, hot, bitmap):
-    """Counts the stripes of prefixes of ``size`` words in each chunk: ``lang prefix segment next counts``."""
+    """Counts the stripes of prefixes of ``size`` words in each chunk: ``lang prefix segment next counts``, ``next`` a text of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for data, offsets, lang in _chunks(batches):
@@ -194,7 +194,8 @@ def _stripes(size: int, hot, bitmap):
 
 
 def _emit(shown, langs, lang_of, owner, word, counts, segment, words) -> Iterator[pa.RecordBatch]:
-    """One row for each prefix and segment; the code after the last word's is the empty word."""
+    """One row for each prefix and segment; the code after the last word's is the empty word. Words that follow are one text, apart by
+    spaces, which no word has, so that the shuffle holds them and no places or padding."""
     order = np.argsort(owner * SEGMENTS + segment, kind="stable")
     row = (owner * SEGMENTS + segment)[order]
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]])) if len(row) else np.zeros(0, np.int64)
@@ -206,7 +207,7 @@ def _emit(shown, langs, lang_of, owner, word, counts, segment, words) -> Iterato
         bounds = pa.array(np.append(rows, stop).astype(np.int32) - np.int32(rows[0]))
         yield pa.record_batch(
             [_lang(langs, lang_of[own]), shown.take(pa.array(own)), pa.array((row[rows] % SEGMENTS).astype(np.int32)),
-             pa.ListArray.from_arrays(bounds, _taken(vocabulary, word[entries])), pa.ListArray.from_arrays(bounds, pa.array(counts[entries].astype(np.int64)))],
+             pc.binary_join(pa.ListArray.from_arrays(bounds, _taken(vocabulary, word[entries])), " "), pa.ListArray.from_arrays(bounds, pa.array(counts[entries].astype(np.int32)))],
             names=["lang", "prefix", "segment", "next", "counts"])
 
 
@@ -230,9 +231,9 @@ def merged_stripes(docs: DataFrame, size: int, min_count: int, hot, bitmap, text
 
     The shuffle deals stripes by prefix and segment; entries are summed where the stripes meet, without another shuffle.
     """
-    local = _texts(docs, text, lang).mapInArrow(_stripes(size, hot, bitmap), "lang string, prefix string, segment int, next array<string>, counts array<long>")
+    local = _texts(docs, text, lang).mapInArrow(_stripes(size, hot, bitmap), "lang string, prefix string, segment int, next string, counts array<int>")
     met = local.repartition("lang", "prefix", "segment")
-    entries = met.select("lang", "prefix", "segment", F.inline(F.arrays_zip("next", "counts")))
+    entries = met.select("lang", "prefix", "segment", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "counts")))
     summed = entries.groupBy("lang", "prefix", "segment", "next").agg(F.sum("counts").alias("n"))
     return summed.where(F.col("n") >= min_count).select("lang", "prefix", "next", "n")
 

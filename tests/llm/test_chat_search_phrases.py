@@ -184,6 +184,15 @@ def test_collocations_are_those_of_counting(spark, monkeypatch, longest, hot):
         assert own == sorted(own, key=lambda r: (-r.score, -r.a, r.phrase.encode()))
 
 
+def test_stripes_take_little_more_room_than_their_words(spark):
+    text = " ".join(f"word{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(text, "en")], "text string, lang string")
+    local = docs.mapInArrow(collocations._stripes(1, spark.sparkContext.broadcast({}), None), "lang string, prefix string, segment int, next string, counts array<int>")
+    # words are bytes one after the other; as arrays of texts each took 16 bytes more
+    assert local.agg(F.sum(F.octet_length("next"))).first()[0] <= 2 * len(text)
+    assert local.select("lang", "prefix", F.explode(F.split("next", " ")).alias("next")).where("next <> ''").count() == 19_999
+
+
 def test_counts_past_64_bits_are_exact(spark):
     a, left, right = 900_000_000_000_001, 950_000_000_000_003, 999_999_999_999_989
     row = spark.createDataFrame([(a, left, right)], "a long, l long, r long").select(collocations._ratio(F.col("a"), F.col("l"), F.col("r")).alias("s")).first()
