@@ -58,6 +58,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     named = docs.withColumn("_text", F.sha2(normalized(F.col("text")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
     rest = named.join(some, same, "left_anti").drop("_text")
+    if some.where("kept").isEmpty():  # no row that stays repeats, so the texts needn't be moved once more
+        return rest
     # of a row that repeats the longest text stays; map-side, so that very many repeats are no hot task
     row = F.struct(F.length("text").alias("_size"), *docs.columns)
     once = named.join(some.where("kept"), same, "left_semi").groupBy("doc_id", "_text").agg(F.max(row).alias("_row")).select(*(F.col(f"_row.{c}") for c in docs.columns))

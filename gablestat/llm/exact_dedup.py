@@ -5,6 +5,7 @@ sorted and get integer names; then names of neighbouring blocks are paired, the
 and so on until one name stands for the whole text. Two texts are equal if and only if they end on the same
 level with the same name: names stand for contents, never for hashes of them (a hash only says where in the order a block comes).
 
+Blocks are first counted by a hash, of a few bytes each; a block whose hash comes once is never compared or moved again.
 A text with a block that occurs nowhere else equals no other text and leaves the recursion, so only what is
 still undecided is paired. The sort of a level yields names by ``monotonically_increasing_id`` over the
 ordered rows; the level is written to the shared folder before use, so a lost executor can't lead to other
@@ -59,6 +60,10 @@ def text_names(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
             F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.octet_length("_bytes") - 1) / block).cast("int"))),
             lambda i: F.substring(F.col("_bytes"), i * block + 1, F.lit(block)))).alias("i", "block"),
         F.greatest(F.lit(1), F.ceil(F.octet_length("_bytes") / block).cast("int")).alias("n"))
+    # a block whose hash comes once comes once itself: the others are told by their hashes, and only they are sorted and named
+    marked = cut.withColumn("mark", F.xxhash64("block"))
+    often = cut_lineage(marked.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark"))
+    cut = cut_lineage(marked.join(often, "mark", "left_semi").drop("mark"))
     names = _numbered(cut.groupBy("block").agg(F.count("*").alias("n")).where("n > 1").select("block"))
     now = cut_lineage(cut.join(names, "block").select("unit", "n", "i", "name"))
     done, level = None, 0

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from gablestat.llm.graph import components
 from gablestat.llm.words import mix, sliced
-from gablestat.session import cut_lineage
+from gablestat.session import cut_lineage, drop_stored, store
 
 PERCENT = 80
 ORDER_BITS = 17
@@ -302,10 +302,15 @@ def _all(links: list[DataFrame]) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
     """Per row: ``key n_shingles class component_id``, the smallest key that links of ``percent`` similarity reach."""
-    firsts = cut_lineage(first_shingles(docs, key, text, percent))
-    classes = cut_lineage(firsts.where("n > 0").select("class", "n", "sign", "rare", "frequent").dropDuplicates(["class"]))  # copies take part once
+    spark = docs.sparkSession
+    # the wide tables go once they are read: rows keep their class, classes their tiles and signatures
+    whole, whole_path = store(first_shingles(docs, key, text, percent))
+    classes, classes_path = store(whole.where("n > 0").select("class", "n", "sign", "rare", "frequent").dropDuplicates(["class"]))  # copies take part once
+    firsts = cut_lineage(whole.select(key, "n", "class"))
+    drop_stored(spark, whole_path)
     tiles = _tiles(classes)
     signs = cut_lineage(classes.select("class", "n", "sign").join(tiles.select("class").distinct(), "class", "left_semi"))
+    drop_stored(spark, classes_path)
     corpus = _Corpus(docs, firsts, signs, key, text, percent)
     links, roots, left = [], None, tiles
     for turn in range(rounds):

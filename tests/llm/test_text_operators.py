@@ -97,6 +97,20 @@ def test_ablations_count_what_each_rule_decides(rows):
         assert r.kept_without == sum(not b & 3 & ~bit for b in bits)
 
 
+def test_only_blocks_whose_hash_repeats_are_named(spark, tmp_path, monkeypatch):
+    from gablestat.llm import exact_dedup
+
+    path, seen = str(tmp_path / "docs"), []
+    spark.createDataFrame([(i, " ".join(words_of(30, 70 + i % 40))) for i in range(42)], "doc_id long, text string").write.parquet(path)
+    numbered = exact_dedup._numbered
+    monkeypatch.setattr(exact_dedup, "_numbered", lambda keys: seen.append(keys) or numbered(keys))
+    groups = duplicate_groups(spark.read.parquet(path))
+    assert {(r.doc_id, r.keep_id) for r in groups.where("group_size > 1").collect()} == {(0, 0), (40, 0), (1, 1), (41, 1)}
+    # names are given from a table of the four rows that may be equal to others, not from all texts
+    assert not any(path in f for f in seen[0].inputFiles())
+    assert spark.read.parquet(*seen[0].inputFiles()).count() == 4
+
+
 @pytest.mark.parametrize("block", [7, 64, 4096])
 def test_block_names_find_equal_texts(rows, empty, block):
     got = duplicate_groups(rows, block=block).collect()
@@ -226,6 +240,16 @@ def test_jaccard_finds_chains_near_the_threshold(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(source)
 
 
+def test_first_shingles_go_once_tiles_and_signatures_are_stored(spark):
+    a = words_of(80, 90)
+    docs = spark.createDataFrame([(i, " ".join([*a, f"w{i}"])) for i in range(4)] + [(9, " ".join(words_of(80, 91)))], "doc_id long, text string")
+    with recording() as paths:
+        got = {r.doc_id: r.component_id for r in near_duplicates(docs).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 9: 9}
+    kept = [spark.read.parquet(p).columns for p in paths if os.path.exists(p.removeprefix("file:"))]
+    assert kept and not any({"rare", "frequent"} & set(c) for c in kept)
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
