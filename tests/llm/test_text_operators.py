@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 import tiktoken
-from gablestat.llm import bpe, packing
+from gablestat.llm import bpe, packing, substring_dedup
 from gablestat.llm.exact_dedup import duplicate_groups
 from gablestat.llm.graph import components
 from gablestat.llm.jaccard_join import near_duplicates
@@ -312,6 +312,19 @@ def test_repeated_passages_delete_what_they_stored_on_their_way(spark):
     assert sum(os.path.exists(p.removeprefix("file:")) for p in paths) <= 7 < len(paths)
 
 
+def test_runs_are_named_only_where_copies_part(spark):
+    a = words_of(400, 75)
+    changed = a[:200] + ["other"] + a[201:]
+    alike = [(i, " ".join(a)) for i in range(5)]
+    done = spark.createDataFrame([], "doc_id long, source_id long, start int, stop int")
+    places = lambda data: {r.doc: {i for w in r.windows for i in range(w["low"], w["high"] - 19)} for r in substring_dedup._windowed(
+        spark.createDataFrame(data, "doc_id long, text string"), done, "doc_id", "text", 46, 20).collect()}
+    assert places(alike) == {}
+    found = places([*alike, (7, " ".join(changed))])
+    # runs of 20 shingles end or begin where the texts part, whichever half of them holds the least shingle
+    assert set(found) == {0, 1, 2, 3, 4, 7} and all({176, 201} <= at and at <= set(range(146, 232)) for at in found.values())
+
+
 def test_frequent_lines_hide_no_passage(spark):
     a, b = words_of(27, 50), words_of(27, 51)
     data = [(i, " ".join(words_of(60, 1000 + i) + (a if i % 2 else b) + words_of(60, 2000 + i))) for i in range(60)]
