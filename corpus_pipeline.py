@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from gablestat.llm.exact_dedup import duplicate_groups, normalized
 from gablestat.llm.jaccard_join import near_duplicates
+from gablestat.llm.members import may_have, surely_without
 from gablestat.llm.packing import pack, pieces
 from gablestat.llm.quality_rules import fails, ledger
 from gablestat.llm.substring_dedup import repeated_passages, without_passages
@@ -55,9 +56,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of equal texts the longest original, then the smallest doc_id; rows that repeat count once, rows that only share a doc_id are told apart by their texts."""
     groups = duplicate_groups(docs).groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
     some = cut_lineage(groups.where("not kept or n > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "kept"))
-    named = docs.withColumn("_text", F.sha2(normalized(F.col("text")), 256))
+    ids = some.select(F.col("_id").alias("doc_id"))
+    named = may_have(docs, ids, "doc_id").withColumn("_text", F.sha2(normalized(F.col("text")), 256))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha"))
-    rest = named.join(some, same, "left_anti").drop("_text")
+    rest = surely_without(docs, ids, "doc_id").unionByName(named.join(some, same, "left_anti").drop("_text"))  # most texts stay where they are
     if some.where("kept").isEmpty():  # no row that stays repeats, so the texts needn't be moved once more
         return rest
     # of a row that repeats the longest text stays; map-side, so that very many repeats are no hot task
@@ -80,8 +82,8 @@ def _rows(docs: DataFrame) -> DataFrame:
 def jaccard_join(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
     rows = _rows(docs)
-    gone = near_duplicates(rows, key="_row").where("_row <> component_id").select(F.col("_row").alias("_gone"))
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    gone = cut_lineage(near_duplicates(rows, key="_row").where("_row <> component_id").select("_row"))
+    return surely_without(rows, gone, "_row").unionByName(may_have(rows, gone, "_row").join(gone, "_row", "left_anti")).drop("_row")
 
 
 @_stage

@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gablestat.llm.graph import components
+from gablestat.llm.members import may_have
 from gablestat.llm.words import mix, sliced
 from gablestat.session import cut_lineage, drop_stored, store
 
@@ -245,7 +246,9 @@ class _Corpus:
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], names=["class", "hashes"])
 
         wanted = self.firsts.select(self.key, "class").join(classes, "class", "left_semi").groupBy("class").agg(F.min(self.key).alias("_wanted"))
-        some = self.docs.select(self.key, self.text).join(wanted.select("_wanted"), F.col(self.key).eqNullSafe(F.col("_wanted")), "left_semi")
+        wanted = cut_lineage(wanted.select("_wanted"))
+        likely = may_have(self.docs.select(self.key, self.text), wanted.select(F.col("_wanted").alias(self.key)), self.key)
+        some = likely.join(wanted, F.col(self.key).eqNullSafe(F.col("_wanted")), "left_semi")
         return cut_lineage(some.select(self.text).mapInArrow(run, "class long, hashes binary"))
 
     def links(self, pairs: DataFrame) -> DataFrame:

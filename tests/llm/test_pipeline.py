@@ -2,7 +2,11 @@
 
 import os
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from gablestat.llm import jaccard_join, substring_dedup
+from gablestat.llm.members import may_have, surely_without
 
 FOLDER = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.01")
 
@@ -51,3 +55,31 @@ def test_no_column_name_clashes_and_an_empty_table_stays_empty(spark):
         assert docs.columns == ["doc_id", "text", *names] and empty.columns == docs.columns and empty.count() == 0
     assert docs.count() == 3 and all(r[n] == -r.doc_id for r in docs.collect() for n in names)
     assert corpus_pipeline.STAGES[-1][1](spark, empty, FOLDER).count() == 0
+
+
+def test_texts_without_a_wanted_key_take_no_part_in_joins(spark, monkeypatch):
+    rows = spark.range(4000).select(F.when(F.col("id") > 5, F.col("id")).alias("doc_id"), F.lit("w").alias("text"))
+    keys = spark.createDataFrame([(i,) for i in (None, 7, 9, 3999, 70_000)], "doc_id long")
+    some, rest = may_have(rows, keys, "doc_id"), surely_without(rows, keys, "doc_id")
+    assert some.count() + rest.count() == 4000 and some.count() < 20
+    assert sorted(str(r.doc_id) for r in some.collect() if r.doc_id in (None, 7, 9, 3999)) == ["3999", "7", "9", *["None"] * 6]
+    assert may_have(rows, keys.limit(0), "doc_id").count() == 0 and surely_without(rows, keys.limit(0), "doc_id").count() == 4000
+
+    joined = []
+
+    def counted(*args):
+        joined.append((out := may_have(*args)).count())
+        return out
+
+    for module in (corpus_pipeline, jaccard_join, substring_dedup):
+        monkeypatch.setattr(module, "may_have", counted)
+    own = F.concat_ws(" ", *(F.concat(F.lit(f"x{i}y"), F.col("id")) for i in range(60)))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), own.alias("text"))
+    docs = corpus_pipeline.cut_lineage(docs.union(docs.where("doc_id < 3").select(F.col("doc_id") + 5000, "text")))
+    near = corpus_pipeline.cut_lineage(docs.withColumn("text", F.when(F.col("doc_id") < 5000, F.col("text")).otherwise(F.concat("text", F.lit(" z")))))
+    spans = spark.createDataFrame([(k, 0, 0, 60) for k in range(5)], "doc_id long, source_id long, start int, stop int")
+    for work, n in ((lambda: corpus_pipeline.exact_dedup(spark, docs, FOLDER), 2000), (lambda: corpus_pipeline.jaccard_join(spark, near, FOLDER), 2000),
+                    (lambda: corpus_pipeline.substring_dedup(spark, near, FOLDER), 2003), (lambda: substring_dedup.without_passages(docs, spans), 2003)):
+        joined.clear()
+        assert work().count() == n
+        assert joined and max(joined) < 100
