@@ -468,3 +468,20 @@ def test_weak_labels_part_good_from_bad(spark, empty):
     assert set(model.accuracies()) == {name for name, *_ in LABELLERS}
     assert WeakQuality().fit(empty.select("text")).transform(empty).count() == 0
     assert estimate({})[2] == {}
+
+
+def test_texts_hashed_together_are_those_hashed_alone():
+    from gablestat.llm.words import Words, buffers, each_text, in_blocks, list_fields
+
+    column = pa.array(["a b c d e f", None, "", "One two", " ".join(words_of(300, 5)), "x" * 10])
+    data, offsets = buffers(column)
+    got = list(each_text(column))
+    assert len(got) == len(column)
+    for i, (shingles, words) in enumerate(got):
+        own = Words(data, offsets[i : i + 2])
+        assert np.array_equal(shingles, own.shingles()[0]) and np.array_equal(words, own.hash)
+    lists = pa.array([[{"a": 1, "b": True}, {"a": 2, "b": False}], None, [], [{"a": 3, "b": True}]])
+    assert [(a.tolist(), b.tolist()) for a, b in list_fields(lists, "a", "b")] == [([1, 2], [True, False]), ([], []), ([], []), ([3], [True])]
+    blocks = list(in_blocks(([np.arange(i, i + 3), np.full(3, i)] for i in range(5)), ["a", "b"], 6))
+    assert [b.num_rows for b in blocks] == [6, 6, 3] and [x for b in blocks for x in b.column(1).to_pylist()] == [i for i in range(5) for _ in range(3)]
+    assert list(in_blocks(iter([]), ["a"])) == []
