@@ -105,6 +105,64 @@ def test_training_stops_when_held_out_rows_gain_no_more(spark):
     assert model.importances(spark).agg(F.sum("gain")).first()[0] == pytest.approx(1.0)
 
 
+def test_one_task_grows_the_trees_of_the_passes(spark, monkeypatch):
+    df, _, _ = table(spark)
+    df = df.withColumn("valid", F.col("id") % 10 == 0).withColumn("one", F.lit(1.0))
+    for s in (Settings(rounds=4, depth=5, rows=0.7, columns=0.7, bins=32, min_rows=3), Settings(rounds=2, depth=0), Settings(rounds=3, depth=3, columns=0.1)):
+        found, values, borders = [], [], None
+        for least, cores in ((1 << 20, 1), (1000, 1), (1000, 3)):
+            monkeypatch.setattr(boosting, "LEAST", least)
+            monkeypatch.setattr(boosting, "PROCESSES", cores)
+            model = fit_boosted(df, ["a", "one", "b", "c"], "y", ["id"], s, "valid", borders=borders)
+            borders = model.borders
+            found.append((model.losses, [(t.feature.tolist(), t.border.tolist(), t.cover.tolist()) for t in model.trees]))
+            values.append([x for t in model.trees for x in t.value.tolist()])
+        assert found[0][1] == found[1][1] == found[2][1]
+        for i in (1, 2):
+            assert values[i] == pytest.approx(values[0]) and np.array(found[i][0]) == pytest.approx(np.array(found[0][0]))
+
+
+@pytest.mark.parametrize("processes, nodes", [(1, 64), (3, 1), (5, 64)])
+def test_shards_in_processes_and_small_pieces_make_the_same_trees(monkeypatch, processes, nodes):
+    monkeypatch.setattr(boosting, "NODES", nodes)
+    monkeypatch.setattr(boosting, "PIECE", 100)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 12, 3000), rng.normal(0, 1, 3000), rng.integers(0, 3, 3000)]).astype(float)
+    y = 3 * x[:, 0] + 5 * (x[:, 1] > 0.3) * x[:, 2] + rng.normal(0, 0.5, 3000)
+    s = Settings(rounds=3, depth=4, step=0.4, rows=1.0, columns=1.0, min_rows=4)
+    borders = [np.arange(11.0), np.quantile(x[:, 1], np.arange(1, 16) / 16), np.array([0.0, 1.0])]
+    codes = np.stack([np.searchsorted(b, x[:, i], side="left") for i, b in enumerate(borders)])
+    cuts = [slice(0, 1700), slice(1700, 1701), slice(1701, 3000)]
+    blocks = [boosting._block(codes[:, c], y[c], np.arange(3000)[c], np.zeros(3000, dtype=bool)[c], np.zeros(3000)[c]) for c in reversed(cuts)]
+    found = list(boosting._Held(s, [12, 16, 3], processes).run(iter(blocks)))
+    got = brute_trees(x, y, borders, s, 0.0) - y
+    assert [b.column("round")[0].as_py() for b in found] == [0, 1, 2]
+    assert found[-1].column("errors")[0].as_py() == pytest.approx([(got**2).sum(), 3000, 0, 0])
+
+
+def test_rounds_of_a_fit_that_one_task_holds_are_no_jobs(spark):
+    df, x, y = table(spark, 20_000)
+    s = Settings(rounds=25, depth=3, step=0.4, rows=1.0, columns=1.0, min_rows=4, bins=16)
+    spark.sparkContext.setJobGroup("held", "a fit")
+    try:
+        model = fit_boosted(df, ["a", "b", "c"], "y", ["id"], s)
+    finally:
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("held"))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(model.trees) == len(model.losses) == 25 and 0 < jobs < 25
+    got = {r.id: r.prediction for r in model.transform(df).collect()}
+    assert [got[i] for i in range(len(y))] == pytest.approx(list(brute_trees(x, y, model.borders, s, y.mean())), rel=1e-6)
+
+
+def test_one_task_stops_when_held_out_rows_gain_no_more(spark, monkeypatch):
+    monkeypatch.setattr(boosting, "LEAST", 100)
+    df, _, _ = table(spark, 800)
+    noise = df.withColumn("y", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double")).withColumn("valid", F.col("id") % 3 == 0)
+    model = fit_boosted(noise, ["a", "b"], "y", ["id"], Settings(rounds=40, depth=4, step=0.5, patience=3), "valid")
+    best = int(np.argmin([r[2] for r in model.losses]))
+    assert len(model.losses) < 40 and len(model.losses) == best + 1 + 3 and len(model.trees) == best + 1
+
+
 def test_bins_take_awkward_columns(spark):
     rows = [(float(i), None, 1.0, float("nan") if i % 2 else 2.0) for i in range(1000)]
     df = spark.createDataFrame(rows, "x double, none double, one double, odd double")
